@@ -37,6 +37,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a batch that carries whole texts to Python, at most.
+TEXT_ROWS = 512
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, once the session's Arrow batches are small enough for rows of any length.
+
+    Lowers the session's row limit of a batch; a lower limit is left as it is. Spark
+    also ends a batch by bytes, but only once it has passed that limit.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, TEXT_ROWS)
+    return df
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select ``new=old`` columns by exact name, whatever else the table holds.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, pick
+from tensorloom.llm.common import checkpointed, pick, whole_texts
 from tensorloom.llm.components import components
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fps = np.array([fingerprint(t.as_py(), words) for t in part.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
+    rows = whole_texts(pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string")))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
