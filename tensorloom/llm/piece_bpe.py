@@ -15,7 +15,6 @@ kept in a bounded table, since words repeat.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,16 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import batches, pick
+from tensorloom.llm.common import batches, pick, whole_texts
 
 SPACE = "▁"
 #: Segments in a generation of a worker's table. A full generation becomes the old one, whose
 #: entries come back when they are used again, so frequent words stay and memory is bounded.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 400_000
 #: Longer segments are not kept.
 TABLE_CHARS = 48
 
 
+#: Pairs of tokens whose fit a worker keeps.
+PAIR_ENTRIES = 1_000_000
+#: (tokens, ids joined by commas, decoded text)
+Coded = tuple[int, str, str]
+
+
 class PieceBpe:
     """Encoder and decoder of one SentencePiece BPE model file."""
 
@@ -58,8 +63,10 @@ class PieceBpe:
         self.byte_ids = bytes_
         self.byte_of = {i: b for b, i in enumerate(bytes_)}
         self.joined = {p.piece[k : k + 2] for _, p in plain for k in range(len(p.piece) - 1)}
+        # Pieces that merging their own text does not give can stand nowhere.
+        self.alone = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.machine = ahocorasick.Automaton()
-        for piece in self.ids:
+        for piece in sorted(self.alone):
             self.machine.add_word(piece, len(piece))
         self.machine.make_automaton()
         # A segment starts at a run of spaces; pieces that join a letter and a following space would forbid that.
@@ -67,112 +74,108 @@ class PieceBpe:
             raise ValueError("pieces that reach over the end of a word are not supported")
         self._words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self._fits: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
-        self._table: dict[str, tuple[int, str, str]] = {}
-        self._old: dict[str, tuple[int, str, str]] = {}
-        self._parts: dict[str, list[str]] = {}
-        self._old_parts: dict[str, list[str]] = {}
-        self._same = {p: p for p in self.ids}
+        self._table: dict[str, Coded] = {}
+        self._old: dict[str, Coded] = {}
+        self._parts: dict[str, Coded] = {}
+        self._old_parts: dict[str, Coded] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merge process itself: best score first, leftmost among equals. Used on one or two tokens' text."""
-        parts = list(text)
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(parts) and (s := self.scores.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-s, i, j, parts[i] + parts[j]))
-
-        for i in range(len(parts) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            if not parts[i] or j >= len(parts) or not parts[j] or after[i] != j or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j] = both, ""
-            after[i] = after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [p for p in parts if p]
-
-    def stands_alone(self, token: str) -> bool:
-        known = self._alone.get(token)
-        if known is None:
-            known = self._alone[token] = len(token) == 1 or self.merged(token) == [token]
-        return known
+        parts, get, none = list(text), self.scores.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != none:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
 
     def fits(self, left: str, right: str) -> bool:
-        """Whether merging the two tokens' text again gives these two tokens."""
-        if left[-1] + right[0] not in self.joined:
-            return True
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[left, right] = self.merged(left + right) == [left, right]
+        """Whether merging the two tokens' text again gives these two tokens; memoised."""
+        if len(self._fits) > PAIR_ENTRIES:
+            self._fits.clear()
+        known = self._fits[left, right] = self.merged(left + right) == [left, right]
         return known
 
     def backtrack(self, text: str) -> list[str]:
         """The tokens of one segment; characters outside the vocabulary are tokens of their own."""
         n = len(text)
-        if n == 1 or text in self.ids and self.stands_alone(text):
+        if n == 1 or text in self.alone:
             return [text]
-        lengths: list[list[int]] = [[] for _ in range(n)]
+        sizes: list[list[int]] = [[] for _ in range(n)]  # of the matches from each place, longest last
         for end, size in self.machine.iter(text):
-            lengths[end - size + 1].append(size)
-        failed = 0  # bit i: the text from i on cannot be covered after the token that was tried
+            sizes[end - size + 1].append(size)
+        known, failed, at = self._fits.get, 0, 0  # failed, bit i: what follows place i cannot be covered
         tokens: list[str] = []
-        choices: list[Iterator[int]] = []
-        at = 0
-        options = iter(sorted(lengths[0], reverse=True) or [1])
+        left = None
+        options = sizes[0] or [1]
+        tried = [options]
         while True:
-            for size in options:
-                if failed >> (at + size) & 1:
+            if options:
+                end = at + options.pop()
+                if failed >> end & 1:
                     continue
-                token = text[at : at + size]
-                if self.stands_alone(token) and (not tokens or self.fits(tokens[-1], token)):
-                    tokens.append(token)
-                    choices.append(options)
-                    at += size
-                    if at == n:
-                        return tokens
-                    options = iter(sorted(lengths[at], reverse=True) or [1])
-                    break
+                token = text[at:end]
+                if left is not None:
+                    fit = known((left, token))
+                    if fit is False or fit is None and not self.fits(left, token):
+                        continue
+                tokens.append(token)
+                if end == n:
+                    return tokens
+                left, at = token, end
+                options = sizes[at] or [1]
+                tried.append(options)
             else:
                 if not tokens:
                     raise AssertionError(f"no tokenisation of {text!r}")
                 failed |= 1 << at
+                tried.pop()
+                options = tried[-1]
                 at -= len(tokens.pop())
-                options = choices.pop()
-
-    def _segment(self, word: str) -> tuple[int, str, str]:
-        """(tokens, ids joined by commas, decoded text) of a word with its leading spaces."""
-        ids: list[int] = []
-        start = 0
-        for k in range(1, len(word) + 1):
-            if k == len(word) or word[k - 1 : k + 1] not in self.joined:
+                left = tokens[-1] if tokens else None
+
+    def _part(self, part: str) -> Coded:
+        """A stretch that no merge leaves: (tokens, ids joined by commas, decoded text)."""
+        found = self._old_parts.get(part)
+        if found is None:
+            ids: list[int] = []
+            for token in self.backtrack(part):
+                known = self.ids.get(token)
+                if known is not None:
+                    ids.append(known)
+                else:
+                    ids.extend([self.byte_ids[b] for b in token.encode("utf-8")])
+            found = len(ids), ",".join(map(str, ids)), self._text(ids)
+        if len(part) <= TABLE_CHARS:
+            if len(self._parts) >= TABLE_ENTRIES:
+                self._old_parts, self._parts = self._parts, {}
+            self._parts[part] = found
+        return found
+
+    def _segment(self, word: str) -> Coded:
+        """The same of a word with its leading spaces, cut where no piece joins two characters."""
+        start, found, joined = 0, [], self.joined
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in joined:
                 part = word[start:k]
-                tokens = self._parts.get(part)
-                if tokens is None:
-                    tokens = self._old_parts.get(part) or [self._same.get(t, t) for t in self.backtrack(part)]
-                    if len(part) <= TABLE_CHARS:
-                        if len(self._parts) >= TABLE_ENTRIES:
-                            self._old_parts, self._parts = self._parts, {}
-                        self._parts[part] = tokens
-                for token in tokens:
-                    known = self.ids.get(token)
-                    if known is not None:
-                        ids.append(known)
-                    else:
-                        ids.extend(self.byte_ids[b] for b in token.encode("utf-8"))
+                found.append(self._parts.get(part) or self._part(part))
                 start = k
-        return len(ids), ",".join(map(str, ids)), self._text(ids)
+        part = word[start:]
+        last = self._parts.get(part) or self._part(part)
+        if not found:
+            return last
+        found.append(last)
+        # A character of several bytes is one token, so bytes never decode across a cut.
+        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), "".join([f[2] for f in found])
 
     def _text(self, ids: list[int]) -> str:
+        pieces = self.pieces
+        if not any(i in self.byte_of for i in ids):
+            return "".join([pieces[i] for i in ids]).replace(SPACE, " ")
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -182,12 +185,12 @@ class PieceBpe:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            out.append(self.pieces[i])
+            out.append(pieces[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(SPACE, " ")
 
-    def segments(self, text: str) -> list[tuple[int, str, str]]:
+    def segments(self, text: str) -> list[Coded]:
         """The segments of a whole text, through the table."""
         if not text:
             return []
@@ -249,6 +252,6 @@ def encode(docs: DataFrame, model_file: str, digest: bool = False) -> DataFrame:
 
         yield from batches(rows(), DIGEST if digest else TOKENS, size=2048, text=None if digest else "decoded")
 
-    rows = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string"))
+    rows = whole_texts(pick(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string")))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
     return rows.mapInArrow(run, schema)
