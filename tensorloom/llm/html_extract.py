@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import batches, pick
+from tensorloom.llm.common import batches, pick, whole_texts
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
@@ -305,5 +305,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
         yield from batches(rows(), RESULT, text="text")
 
-    rows = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.col("html").cast("string"))
+    rows = whole_texts(pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.col("html").cast("string")))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tensorloom.llm import license_scan
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -37,4 +39,35 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": OP9}
+
+def _op2() -> str:
+    rows = ", ".join("('{}', '{}')".format(licence, body.replace("'", "''")) for licence, _, body in license_scan.TEMPLATES)
+    grams = "CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END"
+    return rf"""
+WITH t0(licence, body) AS (VALUES {rows}),
+t1 AS (SELECT licence, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM t0),
+t AS (SELECT licence, {grams} AS tg FROM t1),
+d AS (SELECT DISTINCT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9
+]+', ' ', 'g') AS x, coalesce(text, '') AS text FROM documents),
+p0 AS (
+  SELECT doc_id, text, unnest(list_concat(string_split(x, chr(10)), list_concat(
+    list_transform(string_split_regex(x, '
+[
+ ]*
+'), p -> replace(p, chr(10), ' ')), [replace(x, chr(10), ' ')]))) AS part
+  FROM d),
+p1 AS (SELECT DISTINCT doc_id, text, trim(regexp_replace(part, '  +', ' ', 'g')) AS part FROM p0),
+p2 AS (SELECT doc_id, text, part, string_split(part, ' ') AS w FROM p1 WHERE part <> ''),
+p AS (SELECT doc_id, text, part, {grams} AS g FROM p2),
+m AS (
+  SELECT doc_id, text, part, licence, 2.0::DOUBLE * list_sum(list_transform(list_intersect(g, tg), b -> least(len(list_filter(g, y -> y = b)), len(list_filter(tg, y -> y = b)))))::DOUBLE
+         / (len(g) + len(tg))::DOUBLE AS dice
+  FROM p JOIN t ON len(g) BETWEEN ceil(len(tg) * {license_scan.THRESHOLD} / (2 - {license_scan.THRESHOLD}) - 1e-9) AND floor(len(tg) * (2 - {license_scan.THRESHOLD}) / {license_scan.THRESHOLD} + 1e-9)
+  WHERE list_has_any(g, tg)),
+b AS (SELECT doc_id, text, part, licence, dice FROM m WHERE dice >= {license_scan.THRESHOLD}
+      QUALIFY row_number() OVER (PARTITION BY doc_id, text, part ORDER BY dice DESC, licence) = 1)
+SELECT doc_id, licence, count(*)::BIGINT AS n_passages, max(dice) AS best_dice FROM b GROUP BY doc_id, text, licence
+"""
+
+
+ORACLES: dict[str, str] = {"op2_license_scan": _op2(), "op9_mixing": OP9}

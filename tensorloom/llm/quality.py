@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import pick
+from tensorloom.llm.common import pick, whole_texts
 
 #: Rows of the fitting sample at most, positives and unlabelled each.
 SAMPLE = 6000
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     good = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumn("good", F.lit(1))
     web = docs.select("doc_id").where(learning_fold()).distinct().orderBy(order.bitwiseXOR(F.lit(0x5BD1E995)), "doc_id").limit(sample)
     wanted = good.unionByName(web.withColumn("good", F.lit(0)))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = whole_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = whole_texts(pick(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string"))).mapInArrow(run, "doc_id long, score double, predicted int")
     held = F.coalesce(~learning_fold(), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -227,4 +227,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> D
             x = np.array([features(t.as_py()) for t in part.column(text)]).reshape(-1, len(NAMES))
             yield part.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return whole_texts(docs).mapInArrow(run, schema)
