@@ -39,10 +39,35 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP3 = """
+WITH e AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+OP8 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
+
 
 def _op2() -> str:
     rows = ", ".join("('{}', '{}')".format(licence, body.replace("'", "''")) for licence, _, body in license_scan.TEMPLATES)
-    grams = "CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END"
+    grams = "CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END"
     return rf"""
 WITH t0(licence, body) AS (VALUES {rows}),
 t1 AS (SELECT licence, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM t0),
@@ -54,13 +79,13 @@ p0 AS (
     list_transform(string_split_regex(x, '
 [
  ]*
-'), p -> replace(p, chr(10), ' ')), [replace(x, chr(10), ' ')]))) AS part
+'), lambda p: replace(p, chr(10), ' ')), [replace(x, chr(10), ' ')]))) AS part
   FROM d),
 p1 AS (SELECT DISTINCT doc_id, text, trim(regexp_replace(part, '  +', ' ', 'g')) AS part FROM p0),
 p2 AS (SELECT doc_id, text, part, string_split(part, ' ') AS w FROM p1 WHERE part <> ''),
 p AS (SELECT doc_id, text, part, {grams} AS g FROM p2),
 m AS (
-  SELECT doc_id, text, part, licence, 2.0::DOUBLE * list_sum(list_transform(list_intersect(g, tg), b -> least(len(list_filter(g, y -> y = b)), len(list_filter(tg, y -> y = b)))))::DOUBLE
+  SELECT doc_id, text, part, licence, 2.0::DOUBLE * list_sum(list_transform(list_intersect(g, tg), lambda b: least(len(list_filter(g, lambda y: y = b)), len(list_filter(tg, lambda y: y = b)))))::DOUBLE
          / (len(g) + len(tg))::DOUBLE AS dice
   FROM p JOIN t ON len(g) BETWEEN ceil(len(tg) * {license_scan.THRESHOLD} / (2 - {license_scan.THRESHOLD}) - 1e-9) AND floor(len(tg) * (2 - {license_scan.THRESHOLD}) / {license_scan.THRESHOLD} + 1e-9)
   WHERE list_has_any(g, tg)),
@@ -70,4 +95,4 @@ SELECT doc_id, licence, count(*)::BIGINT AS n_passages, max(dice) AS best_dice F
 """
 
 
-ORACLES: dict[str, str] = {"op2_license_scan": _op2(), "op9_mixing": OP9}
+ORACLES: dict[str, str] = {"op2_license_scan": _op2(), "op3_topk": OP3, "op8_embed_dedup": OP8, "op9_mixing": OP9}

@@ -152,8 +152,7 @@ def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE,
     words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"\P{L}+"))
     # Counted map-side before the shuffle: what moves is words per task, not words per document.
     frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.agg(F.count("*").alias("n_all"))
-    scored = pairs.join(entities, "entity").join(frequency, "term").crossJoin(F.broadcast(total))  # one row
+    scored = pairs.join(entities, "entity").join(frequency, "term").withColumn("n_all", F.lit(found.count()))
     content = F.log2(F.col("n_all") / F.col("n_entity"))
     shared = F.log2(F.least(F.col("n_both"), F.col("n_term")) * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
     terms = scored.where((content > 0) & (shared >= threshold * content)).select("entity", "term")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm import html_extract, license_scan, mixing, pii, piece_bpe, quality, simhash, url_filter
+from tensorloom.llm import embed_dedup, html_extract, license_scan, mixing, pii, piece_bpe, quality, simhash, topk, url_filter
 from tensorloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3)
 
@@ -42,6 +46,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -51,5 +59,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_license_scan, op4_simhash, op5_piece_bpe, op6_url_filter, op7_pii, op9_mixing, op10_html)
+    f.__name__: f for f in (op1_quality, op2_license_scan, op3_topk, op4_simhash, op5_piece_bpe, op6_url_filter, op7_pii, op8_embed_dedup, op9_mixing, op10_html)
 }
