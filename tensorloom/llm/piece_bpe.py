@@ -21,16 +21,17 @@ from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import batches, pick, whole_texts
+from tensorloom.llm.common import pick, whole_texts
 
 SPACE = "▁"
 #: Segments in a generation of a worker's table. A full generation becomes the old one, whose
 #: entries come back when they are used again, so frequent words stay and memory is bounded.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 250_000
 #: Longer segments are not kept.
 TABLE_CHARS = 48
 
@@ -76,8 +77,6 @@ class PieceBpe:
         self._fits: dict[tuple[str, str], bool] = {}
         self._table: dict[str, Coded] = {}
         self._old: dict[str, Coded] = {}
-        self._parts: dict[str, Coded] = {}
-        self._old_parts: dict[str, Coded] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merge process itself: best score first, leftmost among equals. Used on one or two tokens' text."""
@@ -140,38 +139,39 @@ class PieceBpe:
 
     def _part(self, part: str) -> Coded:
         """A stretch that no merge leaves: (tokens, ids joined by commas, decoded text)."""
-        found = self._old_parts.get(part)
-        if found is None:
-            ids: list[int] = []
-            for token in self.backtrack(part):
-                known = self.ids.get(token)
-                if known is not None:
-                    ids.append(known)
-                else:
-                    ids.extend([self.byte_ids[b] for b in token.encode("utf-8")])
-            found = len(ids), ",".join(map(str, ids)), self._text(ids)
-        if len(part) <= TABLE_CHARS:
-            if len(self._parts) >= TABLE_ENTRIES:
-                self._old_parts, self._parts = self._parts, {}
-            self._parts[part] = found
-        return found
+        ids: list[int] = []
+        for token in self.backtrack(part):
+            known = self.ids.get(token)
+            if known is not None:
+                ids.append(known)
+            else:
+                ids.extend([self.byte_ids[b] for b in token.encode("utf-8")])
+        return len(ids), ",".join(map(str, ids)), self._text(ids)
 
-    def _segment(self, word: str) -> Coded:
+    def _cut(self, word: str) -> Coded:
         """The same of a word with its leading spaces, cut where no piece joins two characters."""
         start, found, joined = 0, [], self.joined
         for k in range(1, len(word)):
             if word[k - 1 : k + 1] not in joined:
-                part = word[start:k]
-                found.append(self._parts.get(part) or self._part(part))
+                found.append(self._kept(word[start:k], self._part))
                 start = k
-        part = word[start:]
-        last = self._parts.get(part) or self._part(part)
         if not found:
-            return last
-        found.append(last)
+            return self._part(word)
+        found.append(self._kept(word[start:], self._part))
         # A character of several bytes is one token, so bytes never decode across a cut.
         return sum([f[0] for f in found]), ",".join([f[1] for f in found]), "".join([f[2] for f in found])
 
+    def _kept(self, text: str, make) -> Coded:
+        """From the table, or made and put there; words and their stretches share it."""
+        found = self._table.get(text)
+        if found is None:
+            found = self._old.get(text) or make(text)
+            if len(text) <= TABLE_CHARS:
+                if len(self._table) >= TABLE_ENTRIES:
+                    self._old, self._table = self._table, {}
+                self._table[text] = found
+        return found
+
     def _text(self, ids: list[int]) -> str:
         pieces = self.pieces
         if not any(i in self.byte_of for i in ids):
@@ -195,17 +195,8 @@ class PieceBpe:
         if not text:
             return []
         words = self._words.findall(SPACE + text.replace(" ", SPACE))
-        get, out = self._table.get, []
-        for word in words:
-            found = get(word)
-            if found is None:
-                found = self._old.get(word) or self._segment(word)
-                if len(word) <= TABLE_CHARS:
-                    if len(self._table) >= TABLE_ENTRIES:
-                        self._old, self._table = self._table, {}
-                    self._table[word] = found
-            out.append(found)
-        return out
+        get, kept, cut = self._table.get, self._kept, self._cut
+        return [get(word) or kept(word, cut) for word in words]
 
     def encode(self, text: str | None) -> list[int]:
         joined = ",".join(s[1] for s in self.segments(text or ""))
@@ -223,10 +214,6 @@ def load(model_file: str) -> PieceBpe:
     return PieceBpe(model_file)
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
-
 def encode(docs: DataFrame, model_file: str, digest: bool = False) -> DataFrame:
     """Encode and decode every row's whole text.
 
@@ -237,21 +224,25 @@ def encode(docs: DataFrame, model_file: str, digest: bool = False) -> DataFrame:
     ``model_file`` must be readable on every executor, as installed packages are.
     """
 
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
+    names = [column.split()[0] for column in schema.split(", ")]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(model_file)
-
-        def rows() -> Iterator[dict]:
-            for part in parts:
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    found = coder.segments(text.as_py() or "")
-                    ids, decoded = ",".join([s[1] for s in found]), "".join([s[2] for s in found])[1:]
-                    if digest:
-                        yield {"doc_id": doc_id, "n_tokens": sum([s[0] for s in found]), "ids_sha256": sha256(ids.encode()).hexdigest(), "decoded_sha256": sha256(decoded.encode("utf-8")).hexdigest()}
-                    else:
-                        yield {"doc_id": doc_id, "ids": [int(x) for x in ids.split(",")] if ids else [], "decoded": decoded}
-
-        yield from batches(rows(), DIGEST if digest else TOKENS, size=2048, text=None if digest else "decoded")
+        for part in parts:
+            counts, ids, decoded = [], [], []
+            for text in part.column(1):
+                found = coder.segments(text.as_py() or "")
+                counts.append(sum([s[0] for s in found]))
+                ids.append(",".join([s[1] for s in found]))
+                decoded.append("".join([s[2] for s in found])[1:])
+            if digest:
+                columns = [pa.array(counts, pa.int64()), pa.array([sha256(x.encode()).hexdigest() for x in ids]), pa.array([sha256(x.encode()).hexdigest() for x in decoded])]
+            else:
+                flat = np.fromstring(",".join([x for x in ids if x]), np.int32, sep=",")
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     rows = whole_texts(pick(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string")))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
     return rows.mapInArrow(run, schema)
