@@ -12,6 +12,9 @@ DataFrame functions only; the templates are a fixed table of a few rows.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +58,19 @@ TEMPLATES = (
 
 
 def normalised(text: Column) -> Column:
-    """Lower-cased; runs of anything but a-z, 0-9 and line breaks are one space."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " ")
+    """The lines of a text, lower-cased, runs of anything but a-z and 0-9 one space; an array.
+
+    Splitting and joining with a class of ranges alone takes a tenth of the time of
+    regexp_replace with a class that also spares the line break.
+    """
+    return F.transform(F.split(F.lower(text), "\n"), lambda line: F.trim(F.array_join(F.split(line, "[^a-z0-9]+"), " ")))
 
 
-def passages(text: Column) -> Column:
+def passages(lines: Column) -> Column:
     """The distinct non-empty lines, paragraphs (between lines without letters or digits) and whole of a normalised text."""
-    joined = F.array(F.translate(text, "\n", " "))
-    parts = F.concat(F.split(text, "\n"), F.transform(F.split(text, r"\n[\n ]*\n"), lambda p: F.translate(p, "\n", " ")), joined)
-    parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "  +", " ")))
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+    paragraphs = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" "))))
+    whole = F.array_join(F.filter(lines, lambda p: p != ""), " ")
+    return F.array_distinct(F.filter(F.concat(lines, paragraphs, F.array(whole)), lambda p: p != ""))
 
 
 def n_bigrams(part: Column) -> Column:
@@ -89,13 +95,19 @@ def templates(spark: SparkSession, threshold: float = THRESHOLD, rows=TEMPLATES)
     """``(licence, kind, t_grams, t_size, size)``: a row for each template and size of passage that may reach the threshold."""
     literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("licence", "kind", "body"), r)]) for r in rows])
     df = spark.range(1).select(F.explode(literal).alias("r")).select("r.*")
-    body = F.trim(normalised(F.col("body")))
+    body = F.array_join(normalised(F.col("body")), " ")
     df = df.select("licence", "kind", bigrams(body).alias("t_grams"), n_bigrams(body).alias("t_size"))
     low = F.ceil(F.col("t_size") * F.lit(threshold / (2 - threshold)) - 1e-9).cast("int")
     high = F.floor(F.col("t_size") * F.lit((2 - threshold) / threshold) + 1e-9).cast("int")
     return df.withColumn("size", F.explode(F.sequence(low, high)))
 
 
+def longest(threshold: float = THRESHOLD, rows=TEMPLATES) -> int:
+    """The most bigrams with which a passage can reach the threshold with some template."""
+    words = [len(re.findall("[a-z0-9]+", body.lower())) for _, _, body in rows]
+    return math.floor(max(max(words) - 1, 1) * (2 - threshold) / threshold + 1e-9)
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, rows=TEMPLATES) -> DataFrame:
     """``(doc_id, licence, n_passages, best_dice)``: the licences that each document holds.
 
@@ -107,10 +119,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, rows=TEMPLATES) -> DataF
     doc_id stays null. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64(text).alias("h"), normalised(text).alias("text"))
-    found = base.select("doc_id", "h", F.explode(passages(F.col("text"))).alias("part")).withColumn("size", n_bigrams(F.col("part")))
-    # One row per template and admissible size: the bytes are fixed by TEMPLATES. Passages of any other size end here.
-    met = found.join(F.broadcast(templates(docs.sparkSession, threshold, rows)), "size").withColumn("grams", bigrams(F.col("part")))
+    base = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64(text).alias("h"), normalised(text).alias("lines"))
+    found = base.select("doc_id", "h", F.explode(passages(F.col("lines"))).alias("part")).withColumn("size", n_bigrams(F.col("part")))
+    # Longer passages than any template admits end here; bigrams of the others are made once, below the join.
+    found = found.where(F.col("size") <= longest(threshold, rows)).withColumn("grams", bigrams(F.col("part")))
+    # One row per template and admissible size: the bytes are fixed by TEMPLATES.
+    met = found.join(F.broadcast(templates(docs.sparkSession, threshold, rows)), "size")
     met = met.where(F.arrays_overlap("grams", "t_grams")).withColumn("dice", 2.0 * common_bigrams(F.col("grams"), F.col("t_grams")) / (F.col("size") + F.col("t_size")))
     # A passage goes to its nearest template; on ties to the licence that comes first.
     hits = met.where(F.col("dice") >= threshold).groupBy("doc_id", "h", "part").agg(F.min(F.struct((-F.col("dice")).alias("minus"), F.col("licence"))).alias("best"))
