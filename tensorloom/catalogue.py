@@ -178,10 +178,10 @@ def q12_xor_delta(spark, sf_dir):
     return frames.groupBy("layer_idx").agg(F.max("is_iframe").alias("is_iframe"), F.sum(F.aggregate("data", F.lit(0).cast("long"), lambda acc, x: acc + bits.unsigned(x))).alias("sum_codes"))
 
 
-@query(f"{_MATCHED} SELECT layer_idx::INTEGER AS layer_idx, any_value(i) AS is_iframe, round(sum(CASE WHEN i THEN v ELSE (v - pv)::FLOAT END::DOUBLE), 6) AS sum_delta, round(sum(abs(CASE WHEN i THEN v ELSE (v - pv)::FLOAT END::DOUBLE)), 6) AS sum_abs FROM d GROUP BY layer_idx")
+@query(f"{_MATCHED} SELECT layer_idx::INTEGER AS layer_idx, any_value(i) AS is_iframe, round(sum(CASE WHEN i THEN v ELSE (v - pv)::FLOAT END::DOUBLE), 6) + 0.0 AS sum_delta, round(sum(abs(CASE WHEN i THEN v ELSE (v - pv)::FLOAT END::DOUBLE)), 6) AS sum_abs FROM d GROUP BY layer_idx")
 def q13_arithmetic_delta(spark, sf_dir):
     frames = delta.encode(grouped_rows(spark, sf_dir), "arith")
-    total = lambda f: F.round(F.sum(F.aggregate("data", F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))), 6)
+    total = lambda f: F.round(F.sum(F.aggregate("data", F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))), 6) + F.lit(0.0)
     return frames.groupBy("layer_idx").agg(F.max("is_iframe").alias("is_iframe"), total(lambda x: x).alias("sum_delta"), total(F.abs).alias("sum_abs"))
 
 
@@ -303,9 +303,9 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-@query(f"{_ATOMS} SELECT vec_id, atom_idx, round(list_dot_product(d, v), 4) AS coefficient FROM w, a")
+@query(f"{_ATOMS} SELECT vec_id, atom_idx, round(list_dot_product(d, v), 4) + 0.0 AS coefficient FROM w, a")
 def q22_projection(spark, sf_dir):
-    scores = F.transform("atoms", lambda d: F.round(_dot(d, F.col("v")), 4))
+    scores = F.transform("atoms", lambda d: F.round(_dot(d, F.col("v")), 4) + F.lit(0.0))  # no negative zero
     return _atoms(spark, sf_dir).select("vec_id", F.posexplode(scores).alias("atom_idx", "coefficient"))
 
 

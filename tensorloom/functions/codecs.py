@@ -16,6 +16,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType
 
@@ -206,40 +207,37 @@ def register(name: str, encode: Callable[[bytes], bytes], decode: Callable[[byte
     CODECS[name] = (encode, decode)
 
 
-def _mapped(blobs: pa.Array, codecs: pa.Array | None, one: Codec | None, side: int) -> pa.Array:
-    known = dict(CODECS)
-    names = codecs.to_pylist() if codecs is not None else None
-    out = []
-    for i, blob in enumerate(blobs):
-        data = blob.as_py()
-        out.append(None if data is None else (one or known[names[i]])[side](data))
-    return pa.array(out, pa.binary())
+def _coder(side: int, names: dict[str, Codec] | None = None):
+    """An Arrow function (blob, codec) that encodes (side 0) or decodes (side 1) by the codec's name.
 
-
-def compress(blob: Column, name: str) -> Column:
-    """The blob coded by one codec; null stays null."""
-    chosen = codec(name)
+    The registry of the moment travels with the function, so codecs that were
+    added on the driver are known on the executors.
+    """
+    known = dict(names or CODECS)
 
     @arrow_udf(BinaryType())
-    def run(data: pa.Array) -> pa.Array:
-        return _mapped(data, None, chosen, 0)
+    def run(blob: pa.Array, name: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else known[n][side](b) for b, n in zip(blob.to_pylist(), name.to_pylist())], pa.binary())
 
-    return run(blob)
+    return run
+
+
+def compress(blob: Column, name: str) -> Column:
+    """The blob coded by one codec; null stays null."""
+    return _coder(0, {name: codec(name)})(blob, F.lit(name))
 
 
-@arrow_udf(BinaryType())
-def compress_by(blob: pa.Array, name: pa.Array) -> pa.Array:
+def compress_by(blob, name) -> Column:
     """The blob coded by the codec that the second column names."""
-    return _mapped(blob, name, None, 0)
+    return _coder(0)(blob, name)
 
 
-@arrow_udf(BinaryType())
-def decompress_by(blob: pa.Array, name: pa.Array) -> pa.Array:
+def decompress_by(blob, name) -> Column:
     """The inverse of :func:`compress_by`."""
-    return _mapped(blob, name, None, 1)
+    return _coder(1)(blob, name)
 
 
 def register_sql(spark: SparkSession) -> None:
     """``tl_compress(blob, codec)`` and ``tl_decompress(blob, codec)`` for SQL text."""
-    spark.udf.register("tl_compress", compress_by)
-    spark.udf.register("tl_decompress", decompress_by)
+    spark.udf.register("tl_compress", _coder(0))
+    spark.udf.register("tl_decompress", _coder(1))
