@@ -62,6 +62,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not hold, in any case of letters: the given ones with underscores before them as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096, cell_bytes: int = 16 << 20, text: str | None = None) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows, cut early when ``text`` cells grow large."""
     held: dict[str, list] = {name: [] for name in schema.names}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, pick, word_count
+from tensorloom.llm.common import checkpointed, fresh, pick, word_count
 
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -102,14 +102,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     is such a column, is set to the length of the text of the row. Rows that repeat a
     doc_id are each taken like the one of them that is taken most.
     """
-    plan = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    copies = F.expr("cast(ceil(__taken / __size) as int)")
-    joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.expr("__taken - (__copy - 1) * __size")
-    words = F.expr(r"array_join(slice(split(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ')), ' '), 1, cast(__taken - (__copy - 1) * __size as int)), ' ')")
-    text = F.when(left >= F.col("__size"), F.col("text")).otherwise(words)
-    out = []
-    for name in docs.columns:
-        out.append(text.alias("text") if name == "text" else F.length(text).cast("long").alias(name) if name == "n_chars" else F.col(f"`{name}`"))
-    return joined.select(*out)
+    taken, size, copy, id_ = fresh(docs, "__taken", "__size", "__copy", "__id")
+    plan = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias(id_)).agg(F.max("taken").alias(taken), F.max("size").alias(size))
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col(id_)))
+    joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    left = F.col(taken) - (F.col(copy) - 1) * F.col(size)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
+    text = F.when(left >= F.col(size), F.col("text")).otherwise(cut)
+    own = {"text": text, "n_chars": F.length(text).cast("long")}
+    return joined.select(*[own[n].alias(n) if n in own else F.col(f"`{n}`") for n in docs.columns])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, pick
+from tensorloom.llm.common import checkpointed, fresh, pick
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -191,25 +191,24 @@ def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MI
     Returns the columns of ``docs``; only text changes, and n_chars where there
     is such a column. Spans that overlap are replaced together, by the first's kind.
     """
+    id_, h, extra, all_, clean = fresh(docs, "__id", "__h", "__terms", "__spans", "__clean")
     found = marked(docs)
-    terms = disclosing(docs, found, threshold, min_texts).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("terms").alias("__terms"))
+    terms = disclosing(docs, found, threshold, min_texts).select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("terms").alias(extra))
     terms = checkpointed(terms)
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(terms, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
-    plain = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    extra = F.transform(F.coalesce("__terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    joined = joined.withColumn("__spans", F.array_sort(F.concat(plain, extra)))
+    joined = docs.join(terms, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(h)), "left")
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    more = F.coalesce(F.col(extra), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    joined = joined.withColumn(all_, F.array_sort(F.concat(F.transform(base_spans(F.col("text")), place), F.transform(more, place))))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
         put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("__spans") == 0, F.col("text")).otherwise(F.aggregate("__spans", start, step, rest))
-    joined = joined.withColumn("__clean", clean)
-    out = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
-    return joined.select(*[out[n].alias(n) if n in out else F.col(f"`{n}`") for n in docs.columns])
+    joined = joined.withColumn(clean, F.when(F.size(all_) == 0, F.col("text")).otherwise(F.aggregate(all_, start, step, rest)))
+    own = {"text": F.col(clean), "n_chars": F.length(clean).cast("long")}
+    return joined.select(*[own[n].alias(n) if n in own else F.col(f"`{n}`") for n in docs.columns])
