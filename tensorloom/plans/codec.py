@@ -12,11 +12,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions import bits, codecs, streams
 from tensorloom.operators import delta, drift, factor
+from tensorloom.plans.lineage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,14 @@ _BLOCK = "layer_idx int, group_id int, is_iframe boolean, part string, n_rows in
 
 
 def encode(tensors: DataFrame, rows: DataFrame, options: Options = Options()) -> Encoded:  # noqa: B008
-    """Code all tensors. ``rows`` is scanned once per pass; cache or checkpoint it if it is costly to make."""
+    """Code all tensors. ``rows`` is scanned once per pass; the costly results are checkpointed."""
     spark = rows.sparkSession
     if options.backend not in codecs.BACKENDS:
         raise ValueError(f"unknown backend {options.backend!r}; known: {', '.join(codecs.BACKENDS)}")
     if options.dictionary:
-        dictionaries = factor.fit(rows, tensors, options.num_atoms, options.atom_rank)
-        factored = factor.project(rows, tensors, dictionaries)
+        dictionaries = checkpointed(factor.fit(rows, tensors, options.num_atoms, options.atom_rank))
+        # The kernels are the costly part and three plans read their result.
+        factored = checkpointed(factor.project(rows, tensors, dictionaries))
     else:
         dictionaries = spark.createDataFrame([], "m int, atom_idx int, vec array<float>")
         zero = rows.select("layer_idx").distinct().select("layer_idx", F.lit("C").alias("part"), F.lit(0).alias("row_idx"), F.array(F.lit(0.0).cast("float")).alias("vals"), F.lit("passthrough").alias("mode"))
@@ -62,7 +64,7 @@ def encode(tensors: DataFrame, rows: DataFrame, options: Options = Options()) ->
     groups = group(factored, options)
     frames = _frames(factored, groups, options)
     modes = factored.select("layer_idx", "mode").distinct()
-    return Encoded(tensors, dictionaries, modes, _code(frames, options), options)
+    return Encoded(tensors, dictionaries, modes, checkpointed(_code(frames, options)), options)
 
 
 def group(factored: DataFrame, options: Options) -> DataFrame:
@@ -84,8 +86,6 @@ def _frames(factored: DataFrame, groups: DataFrame, options: Options) -> DataFra
     shapes = placed.groupBy("group_id", "layer_idx", "part").agg(F.count("*").alias("n"), F.max(F.size("vals")).alias("w"))
     shapes = shapes.groupBy("group_id", "layer_idx").agg(F.sort_array(F.collect_list(F.struct("part", "n", "w"))).alias("shape"))
     # The shape's hash joins the group's name, so layers of other shapes open a segment of their own.
-    from pyspark.sql import Window
-
     order = Window.partitionBy("group_id").orderBy("layer_idx")
     changed = (F.col("shape") != F.lag("shape").over(order)).cast("int")
     spans = shapes.withColumn("span", F.sum(F.coalesce(changed, F.lit(0))).over(order)).select("layer_idx", "span")

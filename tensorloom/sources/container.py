@@ -92,24 +92,29 @@ def _take(source: io.BytesIO) -> bytes:
     return source.read(n)
 
 
-def pack_block(is_iframe: bool, r: np.ndarray, c: np.ndarray, shape: tuple, backend: str = "lzma") -> bytes:
+def join_block(is_iframe: bool, layout: str, r_shape: tuple, c_shape: tuple, shape: tuple, coded: dict) -> bytes:
     """One layer: marks, three shapes, the coded streams of R and C, and the tables' room on I-frames."""
-    by = codecs.BACKENDS[backend]
-    split_r, split_c = streams.split(r), streams.split(c)
     out = io.BytesIO()
-    out.write(struct.pack("<BB", is_iframe, LAYOUT_TAGS.index(split_r["layout"])))
-    for s in (r.shape, c.shape, shape):
+    out.write(struct.pack("<BB", is_iframe, LAYOUT_TAGS.index(layout)))
+    for s in (r_shape, c_shape, shape):
         if len(s) > 4:
             raise ValueError("this container holds tensors of four dimensions at most")
         out.write(struct.pack("<4IB", *s, *[0] * (4 - len(s)), len(s)))
-    for part in (split_r, split_c):
+    for part in ("R", "C"):
         for name in ("sign", "exp", "mant"):
-            out.write(_sized(codecs.codec(by[name])[0](part[name])))
-    room = bytes(TABLE_BYTES) if is_iframe else b""
-    out.write(_sized(room) * 2)
+            out.write(_sized(bytes(coded[part, name])))
+    out.write(_sized(bytes(TABLE_BYTES) if is_iframe else b"") * 2)
     return out.getvalue()
 
 
+def pack_block(is_iframe: bool, r: np.ndarray, c: np.ndarray, shape: tuple, backend: str = "lzma") -> bytes:
+    """The block of a layer's arrays: split, coded by the backend, joined."""
+    by = codecs.BACKENDS[backend]
+    split = {"R": streams.split(r), "C": streams.split(c)}
+    coded = {(part, name): codecs.codec(by[name])[0](split[part][name]) for part in split for name in by}
+    return join_block(is_iframe, split["R"]["layout"], r.shape, c.shape, shape, coded)
+
+
 def unpack_block(data: bytes, backend: str = "lzma") -> dict:
     """is_iframe, shape, and R and C as stored (deltas on P-frames), in float32."""
     source = io.BytesIO(data)
