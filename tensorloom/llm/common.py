@@ -6,13 +6,16 @@ Nothing here gathers rows on the driver. Lineage is cut with a reliable
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.plans.lineage import checkpointed
+
+__all__ = ["WORD_PATTERN", "batches", "checkpointed", "fresh", "pick", "table", "whole_texts", "word_count"]
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -23,20 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder.
-
-    The cluster's own setting is used; only where none is set (tests, a single
-    machine) is a temporary folder chosen.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tensorloom-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 #: Rows of a batch that carries whole texts to Python, at most.
 TEXT_ROWS = 512
 
@@ -93,8 +82,3 @@ def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096, cell_byte
 def word_count(text) -> F.Column:
     """Words of a text column by :data:`WORD_PATTERN`; null and empty texts have 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-
-
-def code_point_order(df: DataFrame, column: str) -> F.Column:
-    """Ascending code-point order with null last (UTF-8 byte order is code-point order)."""
-    return F.col(column).asc_nulls_last()
