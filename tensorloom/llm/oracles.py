@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import license_scan
+from tensorloom.llm import license_scan, pii, url_filter
 
 OP9 = r"""
 WITH d AS (
@@ -50,6 +50,94 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 5
 """
 
+def _op7() -> str:
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    doubled = f"list_transform(range(1, len({digits}) + 1), lambda i: {digits}[len({digits}) - i + 1]::INTEGER * (2 - i % 2))"
+    valid = {
+        "email": "true", "ip": rf"regexp_full_match(m, '{part}(?:\.{part}){{3}}')", "phone": f"len({digits}) BETWEEN 9 AND 15",
+        "card": f"len({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform({doubled}, lambda d: CASE WHEN d > 9 THEN d - 9 ELSE d END)) % 10 = 0",
+    }
+    # A match starts after the gaps up to it and the matches before it.
+    walk = " UNION ALL ".join(
+        f"""SELECT row_id, doc_id, h, text, '{kind}' AS kind, {k} AS place, m, s, s + length(m) AS e FROM (
+          SELECT row_id, doc_id, h, text, ms[i] AS m, list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+          FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM d))) WHERE {valid[kind]}"""
+        for k, (kind, pattern) in enumerate(patterns.items())
+    )
+    side = """SELECT row_id, doc_id, h, entity, lower(w) AS term, cut_left AND s = shift AS c1, cut_right AND s + length(w) = shift + length(side) AS c2, s, s + length(w) AS e FROM (
+          SELECT *, ws[i] AS w, shift + list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ws[:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+          FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT *, regexp_extract_all(side, '\\p{L}+') AS ws, string_split_regex(side, '\\p{L}+') AS gaps FROM w0)))"""
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in patterns)
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s{}), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, hash(coalesce(text, '')) AS h FROM documents),
+b AS ({walk}),
+w0 AS (
+  SELECT row_id, doc_id, h, kind || ':' || lower(m) AS entity, greatest(s - {pii.WINDOW}, 0) AS shift, substring(text, greatest(s - {pii.WINDOW}, 0) + 1, s - greatest(s - {pii.WINDOW}, 0)) AS side, s > {pii.WINDOW} AS cut_left, false AS cut_right FROM b
+  UNION ALL SELECT row_id, doc_id, h, kind || ':' || lower(m), e, substring(text, e + 1, {pii.WINDOW}), false, length(substring(text, e + 1, {pii.WINDOW})) = {pii.WINDOW} FROM b),
+w1 AS ({side}),
+w AS (SELECT DISTINCT row_id, doc_id, h, entity, term, s, e FROM w1 WHERE length(term) >= 4 AND NOT c1 AND NOT c2
+      AND NOT EXISTS (SELECT 1 FROM b WHERE b.row_id = w1.row_id AND b.s < w1.e AND w1.s < b.e)),
+p AS (SELECT entity, term, count(DISTINCT (doc_id, h)) AS n_both, count(DISTINCT h) AS texts FROM w GROUP BY ALL),
+n AS (SELECT kind || ':' || lower(m) AS entity, count(DISTINCT (doc_id, h)) AS n_entity FROM b GROUP BY ALL),
+f AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(string_split_regex(lower(text), '\\P{{L}}+'))) AS term FROM d) GROUP BY term),
+t AS (SELECT p.entity, p.term FROM p JOIN n ON p.entity = n.entity JOIN f ON p.term = f.term, (SELECT count(*) AS n_all FROM d)
+      WHERE texts >= {pii.MIN_TEXTS} AND log2(n_all / n_entity) > 0
+        AND log2(least(n_both, n_term) * n_all / (n_entity * n_term)) >= {pii.DISCLOSURE} * log2(n_all / n_entity)),
+x AS (SELECT DISTINCT row_id, s, e FROM w JOIN t ON w.entity = t.entity AND w.term = t.term),
+y AS (SELECT row_id, kind, place, s, e FROM b UNION ALL SELECT row_id, '{pii.TERM}', 9, s, e FROM x),
+z AS (SELECT row_id, {counts}, {listed.format("")} AS spans FROM y GROUP BY row_id),
+q AS (SELECT row_id, sha256({listed.format("")}) AS base_sha256 FROM b GROUP BY row_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in patterns)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z ON d.row_id = z.row_id LEFT JOIN q ON d.row_id = q.row_id
+"""
+
+
+def _op6() -> str:
+    def fits(domain: str, start: str) -> str:
+        return f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{start}')"
+
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(d, p)} THEN '{d + p}'" for _, d, p in ordered)
+    verdict = " ".join(f"WHEN {fits(d, p)} THEN '{v}'" for v, d, p in ordered)
+    tagged = "list_transform(list_filter({}, lambda x: x <> ''), lambda x: '{}=' || regexp_replace(x, '[0-9]+', '#', 'g'))"
+    parts = [
+        ("[translate(regexp_extract(url, '^(.*?)://', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')]", "scheme"), ("string_split(host, '.')", "host"),
+        (r"string_split(regexp_replace(path, '\.[A-Za-z0-9]+$', ''), '/')", "path"), (r"[regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)]", "ext"),
+        ("[CASE WHEN regexp_matches(path, './$') THEN '/' ELSE '' END]", "end"), (r"list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1, 's'), '&'), lambda x: string_split(x, '=')[1])", "query"),
+        ("[CASE WHEN contains(url, '#') THEN 'fragment' ELSE '' END]", "mark"),
+    ]
+    items = "[]"
+    for body, name in parts:
+        items = f"list_concat({items}, {tagged.format(body, name)})"
+    return rf"""
+WITH u0 AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+u AS (SELECT page_id, host, path, try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT) AS number,
+             CASE WHEN url IS NULL THEN []::VARCHAR[] ELSE list_sort(list_distinct({items})) END AS items FROM u0),
+l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+b AS (SELECT items, CASE WHEN bad = 1 THEN 'block' ELSE 'allow' END AS v FROM u JOIN l ON number = doc_id),
+n AS (SELECT count(*) AS total FROM b),
+x AS (SELECT items, v, unnest(range(1, 1 << len(items))) AS mask FROM b),
+s AS (SELECT list_filter(items, lambda y, i: (mask >> (i - 1)) & 1 = 1) AS a, v FROM x),
+r0 AS (SELECT a, count(*) AS n_a FROM s GROUP BY a),
+r1 AS (SELECT a, v, count(*) AS n_av FROM s GROUP BY a, v),
+r AS (SELECT r1.a, r1.v, n_av::DOUBLE / n_a::DOUBLE AS confidence, n_av::DOUBLE / total::DOUBLE AS support FROM r1 JOIN r0 ON r1.a = r0.a, n
+      WHERE n_av >= ceil(least(1.0, greatest({url_filter.MIN_SUPPORT}, ({url_filter.MIN_COUNT} - 0.5) / greatest(1, total))) * total) AND n_av::DOUBLE / n_a::DOUBLE >= {url_filter.MIN_CONFIDENCE}),
+k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r g WHERE g.v = r.v AND len(g.a) < len(r.a) AND g.confidence >= r.confidence AND list_has_all(r.a, g.a))),
+m AS (SELECT d.items, k.v AS mined FROM (SELECT DISTINCT items FROM u) d JOIN k ON list_has_all(d.items, k.a)
+      QUALIFY row_number() OVER (PARTITION BY d.items ORDER BY confidence DESC, support DESC, len(k.a) DESC, k.a DESC, k.v DESC) = 1)
+SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, mined, 'allow') AS verdict, mined
+FROM u LEFT JOIN m ON u.items = m.items
+"""
+
+
 OP8 = """
 WITH RECURSIVE e AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -95,4 +183,4 @@ SELECT doc_id, licence, count(*)::BIGINT AS n_passages, max(dice) AS best_dice F
 """
 
 
-ORACLES: dict[str, str] = {"op2_license_scan": _op2(), "op3_topk": OP3, "op8_embed_dedup": OP8, "op9_mixing": OP9}
+ORACLES: dict[str, str] = {"op2_license_scan": _op2(), "op3_topk": OP3, "op6_url_filter": _op6(), "op7_pii": _op7(), "op8_embed_dedup": OP8, "op9_mixing": OP9}
