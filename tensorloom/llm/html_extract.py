@@ -41,8 +41,10 @@ HINTS = {
     "notice": "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login alert paywall disclaimer",
     "advert": "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion promoted banner",
     "comment": "comment comments commentlist reply replies respond disqus discussion",
-    "tools": "share sharing social meta byline tags tools toolbar skip search form print",
+    "tools": "share sharing social meta byline tags tools toolbar skip search form print complementary contentinfo",
 }
+#: Words that may stand beside a boilerplate word without changing what it says.
+_PLAIN = frozenset("box wrap wrapper container content section block area list inner outer main top bottom left right posts post links link item items body text".split())
 _HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|$)", re.I)
@@ -63,9 +65,9 @@ class Block:
     label: int = -1
 
 
-def _hint(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name boilerplate, and whether the element is hidden."""
-    hinted = hidden = False
+def _hint(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role mention boilerplate, whether one of their names says nothing else, and whether the element is hidden."""
+    hinted = pure = hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -73,23 +75,30 @@ def _hint(attributes: str) -> tuple[bool, bool]:
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name in ("class", "id", "role"):
-            hinted |= any(w.lower() in _HINT_OF for w in _WORDS.findall(_CAMEL.sub(" ", value)))
-    return hinted, hidden
+            for token in value.split():
+                words = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", token))]
+                marked = [w for w in words if w in _HINT_OF]
+                hinted |= bool(marked)
+                pure |= bool(marked) and not {"left", "right"} & set(words) and all(w in _HINT_OF or w in _PLAIN for w in words)
+    return hinted, pure, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order. Unclosed, misnested and cut-off tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
     pieces: list[str] = []
     linked: list[str] = []
     depth = {"a": 0, "silent": 0}
     at, raw_end = 0, None
 
     def place() -> tuple[float, ...]:
-        # A section's own header and footer inside an article still count as such.
-        names = [n for n, _, _ in stack]
+        # Inside an article every mention counts; around it only names that say nothing else, as
+        # layouts carry names like "with-sidebar".
+        names = [n for n, *_ in stack]
         inside = set(names)
+        inner = max((k for k, n in enumerate(names) if n in ("article", "main")), default=0)
+        hinted = any(loose if k >= inner else pure for k, (n, loose, pure, _) in enumerate(stack) if n not in ("html", "body"))
         return tuple(
             float(x)
             for x in (
@@ -100,8 +109,8 @@ def blocks(page: str) -> list[Block]:
                 "footer" in inside,
                 "aside" in inside,
                 "form" in inside or "dialog" in inside,
-                any(h for n, h, _ in stack if n not in ("html", "body")),
-                any(x for _, _, x in stack),
+                hinted,
+                any(x for *_, x in stack),
             )
         )
 
@@ -139,10 +148,10 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS:
             close_block()
         if closing:
-            if any(n == name for n, _, _ in stack):
+            if any(n == name for n, *_ in stack):
                 # Closing a container closes what was left open in it.
                 while True:
-                    gone, _, _ = stack.pop()
+                    gone, *_ = stack.pop()
                     depth["a"] -= gone == "a"
                     depth["silent"] -= gone in SILENT_TAGS
                     if gone == name:
@@ -159,7 +168,7 @@ def blocks(page: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 n = stack[k][0]
                 if n == name:
-                    for gone, _, _ in stack[k:]:
+                    for gone, *_ in stack[k:]:
                         depth["a"] -= gone == "a"
                         depth["silent"] -= gone in SILENT_TAGS
                     del stack[k:]
@@ -168,7 +177,7 @@ def blocks(page: str) -> list[Block]:
                     break
         elif name == "body":
             # A head that was left open ends here.
-            for gone, _, _ in stack:
+            for gone, *_ in stack:
                 depth["a"] -= gone == "a"
                 depth["silent"] -= gone in SILENT_TAGS
             stack.clear()

@@ -103,6 +103,9 @@ ARTICLE = "<h1>Title</h1><p>Short.</p><p>Some <a href=x>linked text</a> here&nbs
         ('<article><p>text</p></article><div id="cookieNotice">We use cookies to do many things for all of our readers</div>', "text"),
         ("<header><h1>Site</h1></header><main><p>Body text</p></main>", "Body text"),
         ("<article><p>a &lt;b&gt; &amp;amp; c</p></article>", "a <b> &amp; c"),
+        ('<div class="page with-sidebar sidebar-right"><article><p>kept text</p></article><div class="sidebar"><p>some other words that stand beside it</p></div></div>', "kept text"),
+        ('<main><p>body</p></main><div id="comments"><article class="comment-body"><p>I say so</p></article></div>', "body"),
+        ('<div class="related-posts"><article><p>teaser of another page</p></article></div><article><p>own</p></article>', "own"),
         ("<style>p{}</style><article>ok</article><style>never closed", "ok"),
     ],
 )
