@@ -121,3 +121,17 @@ def byte_planes(mantissa: Column) -> Column:
 def finite_or_zero(value: Column) -> Column:
     """NaN and infinities become 0, as factorisation needs."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(value)
+
+
+def pack_flags(flags: Column) -> Column:
+    """An array of 0 and 1 as an array of bytes (0 to 255), most significant bit first; the last byte is padded with 0."""
+    n_bytes = F.ceil(F.size(flags) / 8).cast("int")
+    byte = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda acc, k: acc * 2 + F.coalesce(F.get(flags, i * 8 + k).cast("int"), F.lit(0)))
+    return F.when(F.size(flags) > 0, F.transform(F.sequence(F.lit(0), n_bytes - 1), byte)).otherwise(F.array().cast("array<int>"))
+
+
+def unpack_flags(packed: Column, count: Column) -> Column:
+    """The first ``count`` flags of packed bytes: the inverse of :func:`pack_flags`."""
+    places = F.sequence(F.lit(0), count.cast("int") - 1)
+    flag = lambda p: F.call_function("shiftright", F.get(packed, F.floor(p / 8).cast("int")), (F.lit(7) - p % 8).cast("int")).bitwiseAND(F.lit(1))
+    return F.when(count > 0, F.transform(places, flag)).otherwise(F.array().cast("array<int>"))

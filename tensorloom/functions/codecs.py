@@ -147,6 +147,12 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def huffman_table(counts: np.ndarray) -> bytes:
+    """The table of 1,280 bytes: for each symbol its code (u32) and its length (u8)."""
+    lengths = huffman_lengths(counts)
+    return b"".join(struct.pack("<IB", int(c) & 0xFFFFFFFF, int(n)) for c, n in zip(canonical_codes(lengths), lengths))
+
+
 def huffman_encode(data: bytes) -> bytes:
     """u32 length, 256 code lengths, then the bits, most significant first."""
     symbols = np.frombuffer(data, np.uint8)

@@ -57,3 +57,13 @@ def widen(array: np.ndarray) -> np.ndarray:
     if array.dtype == np.uint16:
         return (array.astype(np.uint32) << np.uint32(16)).view(np.float32)
     return array.astype(np.float32)
+
+
+def analyse(streams: dict) -> dict:
+    """Bytes and entropy (bits a byte; 0 if empty) of each stream."""
+    out = {}
+    for name in ("sign", "exp", "mant"):
+        counts = np.bincount(np.frombuffer(streams[name], np.uint8), minlength=256)
+        p = counts[counts > 0] / max(1, counts.sum())
+        out[name] = {"bytes": len(streams[name]), "entropy": float(-(p * np.log2(p)).sum()) + 0.0}
+    return out

@@ -95,6 +95,12 @@ def slots(table: DataFrame, *keys: str) -> DataFrame:
     return table.withColumn("start", start).withColumn("stop", F.col("start") + F.col("freq"))
 
 
+def slot_map(table: DataFrame, *keys: str) -> DataFrame:
+    """``(keys..., slot, sym)``: the symbol of each of the ``SCALE`` slots."""
+    ranged = slots(table, *keys).where("freq > 0")
+    return ranged.select(*keys, "sym", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("slot"))
+
+
 def model_cost(table: DataFrame, *keys: str, scale: int = SCALE, digits: int = 3) -> DataFrame:
     """Bytes that an ideal static coder with the table needs."""
     bits = F.sum(F.col("cnt") * (F.log2(F.lit(float(scale))) - F.log2(F.col("freq").cast("double"))))

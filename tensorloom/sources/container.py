@@ -25,6 +25,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from tensorloom.functions import codecs, streams
@@ -353,6 +354,7 @@ class TensorContainer(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the format known to the session, with filter pushdown."""
     spark.dataSource.register(TensorContainer)
+    spark.udtf.register("tl_unpack_block", UnpackBlock)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
@@ -361,3 +363,16 @@ def describe(spark: SparkSession, path: str):
     file = Container(path)
     rows = [(i, n, file.dtypes[i], [int(x) for x in file.shapes[i]], file.group_of[i], file.starts[i] - file.header.layers_offset, file.stops[i] - file.starts[i]) for i, n in enumerate(file.names)]
     return spark.createDataFrame(rows, "layer_idx int, tensor_name string, dtype string, shape array<int>, group_id int, seek_offset long, block_len long")
+
+
+@udtf(returnType="part string, stream string, codec string, raw_len int, blob binary")
+class UnpackBlock:
+    """SQL table function ``tl_unpack_block(block, backend)``: a row for each stream of a layer block, still coded."""
+
+    def eval(self, block: bytes, backend: str) -> Iterator[tuple]:
+        source, by = io.BytesIO(bytes(block)), codecs.BACKENDS[backend]
+        source.seek(2 + 3 * 17)
+        for part in ("R", "C"):
+            for name in ("sign", "exp", "mant"):
+                blob = _take(source)
+                yield part, name, by[name], len(codecs.codec(by[name])[1](blob)), blob
