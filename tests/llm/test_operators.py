@@ -359,21 +359,21 @@ def test_recall_at_the_threshold(spark):
     assert got / 2 / 400 >= 0.95
 
 
-def test_estimates_are_unbiased_and_bounded():
-    rng = np.random.default_rng(6)
-    judge = embed_dedup._Judge(0.95)
-    import pyarrow as pa
-
-    vectors = rng.normal(0, 1, (300, 64))
-    turn = embed_dedup.isometry(64)
-    assert np.allclose(turn.T @ turn, np.eye(64))
+@pytest.mark.parametrize("dim", [2, 64, 100, 300])
+def test_estimates_are_unbiased_and_bounded(dim):
+    vectors = np.random.default_rng(6).normal(0, 1, (300, dim))
+    turn = embed_dedup.isometry(dim, embed_dedup.sketch_bits(dim), embed_dedup.SKETCH_SEED)
+    assert np.allclose(turn.T @ turn, np.eye(dim))
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    codes = [r.tobytes() for r in np.packbits(unit @ turn.T >= 0, axis=1)]
-    judge.prepare(pa.array(vectors.tolist(), pa.list_(pa.float64())), codes, 64)
+    judge = embed_dedup.Sketches.unpack(embed_dedup.Sketches.pack(unit, turn))
+    true = unit @ unit.T
     estimate = judge.signs @ judge.turned.T / judge.factor[:, None]
-    error = (estimate - unit @ unit.T)[~np.eye(300, dtype=bool)]
-    assert abs(error.mean()) < 0.002
-    assert (np.abs(estimate - unit @ unit.T) <= judge.slack[:, None]).mean() > 0.999
+    upper = judge.upper_block(np.arange(300), 0, 300)
+    apart = ~np.eye(300, dtype=bool)
+    assert abs((estimate - true)[apart].mean()) < 0.01
+    assert (true <= upper)[apart].mean() > 0.999
+    i, j = np.nonzero(apart)
+    assert np.allclose(judge.upper(i, j), upper[i, j], atol=1e-4)
 
 
 # 9: mixing
