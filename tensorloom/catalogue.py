@@ -103,7 +103,7 @@ def q05_packed_signs(spark, sf_dir):
     return cells.groupBy("layer_idx", "byte_idx").agg(F.sum("bit").alias("packed"))
 
 
-def _exponents(spark, sf_dir, *keys):
+def _exponents(spark, sf_dir):
     return entropy.histogram(T.cells(layer_rows(spark, sf_dir), "layer_idx").withColumn("sym", bits.fields(F.col("raw"))[1]), "layer_idx")
 
 

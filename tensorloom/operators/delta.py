@@ -16,10 +16,6 @@ from tensorloom.functions import bits
 MODES = ("arith", "bits")
 
 
-def _fold(a: Column, b: Column, step) -> Column:
-    return F.zip_with(a, b, step)
-
-
 def encode(rows: DataFrame, mode: str = "bits") -> DataFrame:
     """``(layer_idx, group_id, row_idx, is_iframe, data)`` from ``(layer_idx, group_id, row_idx, vals)``.
 
@@ -40,7 +36,7 @@ def encode(rows: DataFrame, mode: str = "bits") -> DataFrame:
     whole = F.col("prev_layer").isNull() | (F.col("prev_rows") != F.col("n_rows")) | (F.col("prev_cols") != F.col("n_cols"))
     # Equal shapes have equal rows, so the row before is the predecessor's.
     framed = framed.withColumn("is_iframe", whole | F.col("last").isNull() | (F.col("last_layer") != F.col("prev_layer")))
-    out = F.when(F.col("is_iframe"), F.col("data")).otherwise(_fold(F.col("data"), F.col("last"), step))
+    out = F.when(F.col("is_iframe"), F.col("data")).otherwise(F.zip_with("data", "last", step))
     return framed.select("layer_idx", "group_id", "row_idx", "is_iframe", out.alias("data"))
 
 

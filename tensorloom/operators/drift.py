@@ -54,7 +54,7 @@ def segments(layers: DataFrame, threshold: float = THRESHOLD, max_size: int = MA
     broken = (F.col("distance").isNull() | (F.col("distance") > threshold)).cast("int")
     # The first layer opens a run even where a distance is given for it.
     broken = F.when(F.row_number().over(order) == 1, 1).otherwise(broken)
-    runs = layers.withColumn("run", F.sum("brk").over(order)) if "brk" in layers.columns else layers.withColumn("brk", broken).withColumn("run", F.sum("brk").over(order))
+    runs = layers.withColumn("brk", broken).withColumn("run", F.sum("brk").over(order))
     within = F.row_number().over(Window.partitionBy("run").orderBy("layer_idx")) - 1
     cut = runs.withColumn("sub", F.floor(within / max_size))
     grouped = cut.withColumn("g", F.dense_rank().over(Window.orderBy("run", "sub")) - 1)

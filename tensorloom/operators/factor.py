@@ -157,7 +157,9 @@ def project(rows: DataFrame, tensors: DataFrame, dictionaries: DataFrame, adapti
 
     both = rows.groupBy("layer_idx").cogroup(_apart(meta).groupBy("layer_idx")).applyInPandas(kernel, _FACTORED)
     # Sizes are compared as rows: min_by over (bytes, dictionary last) keeps passthrough on ties.
-    order = F.struct("probe_bytes", F.when(F.col("mode") == "dict", 0 if not adaptive else 1).otherwise(1 if not adaptive else 0))
+    # Without the choice all sizes are 0 and the dictionary comes first.
+    first = "passthrough" if adaptive else "dict"
+    order = F.struct("probe_bytes", (F.col("mode") != first).cast("int"))
     best = both.groupBy("layer_idx").agg(F.min_by("mode", order).alias("mode"))
     return both.join(best, ["layer_idx", "mode"]).select("layer_idx", "part", "row_idx", "vals", "mode")
 
