@@ -31,6 +31,8 @@ from tensorloom.llm.common import checkpointed, pick
 SLICES = 2
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 2048
+#: Length of a local list, in multiples of k + 1: longer lists raise the cutoff, and fewer entries reach it.
+LISTS = 4
 #: Tasks that share the candidates of one query block.
 SHARES = 16
 SCALE = 256
@@ -143,9 +145,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, slices: int = SLICES
         joined = spread.withColumnRenamed("cell", "q").join(held.withColumnRenamed("cell", "c"), ["dim", "slice", "qblock", "share"])
         return joined.select("dim", "slice", "qblock", "q", "c")
 
-    lists = pairs(_blocks(asking, "qid", "qblock", slices)).mapInArrow(_local_lists(keep), _ENTRY)
+    lists = pairs(_blocks(asking, "qid", "qblock", slices)).mapInArrow(_local_lists(LISTS * keep), _ENTRY)
     at_node = F.row_number().over(Window.partitionBy("qid", "slice").orderBy(F.col("part").desc(), "cid"))
-    lists = lists.withColumn("n", at_node).where(F.col("n") <= keep).select("qid", "cid").distinct()
+    lists = lists.withColumn("n", at_node).where(F.col("n") <= LISTS * keep).select("qid", "cid").distinct()
 
     def totals(entries: DataFrame) -> DataFrame:
         known = entries.join(wanted.select("qid", F.col("v").alias("qv")), "qid").join(classes.select("cid", "v"), "cid")
