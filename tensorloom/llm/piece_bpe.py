@@ -31,7 +31,7 @@ from tensorloom.llm.common import pick, whole_texts
 SPACE = "▁"
 #: Segments in a generation of a worker's table. A full generation becomes the old one, whose
 #: entries come back when they are used again, so frequent words stay and memory is bounded.
-TABLE_ENTRIES = 350_000
+TABLE_ENTRIES = 150_000
 #: Longer segments are not kept.
 TABLE_CHARS = 48
 

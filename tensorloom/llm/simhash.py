@@ -166,8 +166,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, block
     roots = by_fp.join(linked, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(roots, "root").select("fp", "component_id")
     of_fp = by_fp.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # Cut off, so that both sides of the last join are shuffled for it alone and AQE may split a hot fingerprint.
-    of_fp = checkpointed(of_fp)
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
