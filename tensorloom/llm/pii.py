@@ -12,11 +12,17 @@ PMI(e; t) / IC(e) says how much of the entity the term gives away. Terms that re
 threshold, with enough different texts behind them, become spans of their own,
 kind ``term``. Document frequencies cover the whole corpus.
 
+:func:`find` is bound by the SQL of op7, which asks for three texts. :func:`sanitise` is not: there a
+pair's meetings must be unlikely to be chance. That bound counts different texts, so copies are
+no evidence, and rare terms disclose an entity of a single text.
+
 DataFrame functions only: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,8 @@ TERM = "term"
 DISCLOSURE = 0.9
 #: Different texts in which entity and term must meet.
 MIN_TEXTS = 3
+#: For sanitise: a bound on the probability that chance makes entity and term meet in so many texts.
+CHANCE = 0.01
 #: Characters on each side of a base span in which terms are looked for.
 WINDOW = 80
 #: Disclosing spans are broadcast up to so many documents; above, they are joined by shuffle.
@@ -141,21 +149,29 @@ def marked(docs: DataFrame) -> DataFrame:
     return checkpointed(rows.select("doc_id", "h", "spans", near.alias("near")))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def _chance_bits(k: Column, n: Column, p: Column) -> Column:
+    """Bits against chance for k or more of n texts to hold a term of frequency p: n times the divergence of k / n from p (Chernoff)."""
+    met = k * F.log2(k / (n * p))
+    missed = F.when(k < n, (n - k) * F.log2((1 - k / n) / (1 - p))).otherwise(0.0)
+    return F.when(k > n * p, met + missed).otherwise(0.0)
+
+
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS, chance: float = 1.0) -> DataFrame:
     """``(doc_id, h, terms)``: for documents with base spans, the spans of terms that disclose them."""
     mentions = found.where(F.col("near").isNotNull()).select("doc_id", "h", F.explode("near").alias("m")).select("doc_id", "h", "m.entity", F.explode_outer("m.words").alias("w"))
     uses = checkpointed(mentions.select("doc_id", "h", "entity", "w.term", "w.start", "w.end"))
     known = uses.where(F.col("term").isNotNull())
     pairs = known.select("entity", "term", "h", "doc_id").distinct().groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    entities = uses.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = uses.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("h").alias("all_texts"))
     words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"\P{L}+"))
     # Counted map-side before the shuffle: what moves is words per task, not words per document.
     frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(entities, "entity").join(frequency, "term").withColumn("n_all", F.lit(found.count()))
     content = F.log2(F.col("n_all") / F.col("n_entity"))
     shared = F.log2(F.least(F.col("n_both"), F.col("n_term")) * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-    terms = scored.where((content > 0) & (shared >= threshold * content)).select("entity", "term")
+    likely = _chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / F.col("n_all")) >= -math.log2(chance)
+    terms = scored.where((content > 0) & (shared >= threshold * content) & likely).select("entity", "term")
     span = F.struct(F.lit(TERM).alias("kind"), F.col("start"), F.col("end"))
     return known.join(terms, ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
@@ -185,7 +201,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """``docs`` with base spans generalised to ``[KIND]`` and disclosing terms removed as ``[TERM]``.
 
     Returns the columns of ``docs``; only text changes, and n_chars where there
@@ -193,7 +209,7 @@ def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MI
     """
     id_, h, extra, all_, clean = fresh(docs, "__id", "__h", "__terms", "__spans", "__clean")
     found = marked(docs)
-    terms = disclosing(docs, found, threshold, min_texts).select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("terms").alias(extra))
+    terms = disclosing(docs, found, threshold, 1, chance).select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("terms").alias(extra))
     terms = checkpointed(terms)
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)

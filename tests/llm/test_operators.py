@@ -299,6 +299,12 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and "zorgblatt" not in clean[0] and clean[10] == rows_text(rows, 10)
 
 
+def test_terms_disclose_an_entity_of_one_text(spark):
+    rows = [(0, "please ask zorgblatt the person at jo@x.org today")] + [(i, f"please ask the person at the desk today number {i}") for i in range(1, 300)]
+    clean = dict(pii.sanitise(frame(spark, rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert clean == dict(rows) | {0: "please ask [TERM] the person at [EMAIL] today"}
+
+
 def rows_text(rows, doc_id):
     return dict(rows)[doc_id]
 
