@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tensorloom.llm import components, embed_dedup, html_extract, license_scan, mixing, oracles, pii, piece_bpe, quality, queries, simhash, topk, url_filter
+from tensorloom.llm import components, embed_dedup, html_extract, license_scan, mixing, oracles, pii, piece_bpe, quality, queries, similar, simhash, topk, url_filter
 from tests.llm.test_kernels import plain_fingerprint
 from tests.oracle import DATA, same
 
@@ -194,6 +194,31 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_copies_of_similarity_08(spark):
+    rng = random.Random(5)
+    rows, pairs = [], 150
+    for i in range(pairs):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(words)
+        for k in (20, 60, 100, 140):
+            other[k] = "changed"
+        rows += [(i, " ".join(words), "en", "a", 0), (1000 + i, " ".join(other), "en", "a", 0)]
+        assert 0.8 <= len(five_words(rows[-1][1]) & five_words(rows[-2][1])) / len(five_words(rows[-1][1]) | five_words(rows[-2][1])) < 0.83
+    rows += [(0, "a text of its own under an id that repeats", "en", "a", 0), (None, "no id", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    ids = Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect())
+    assert all(ids[i] == 1 for i in range(1, pairs)) and ids[0] == 2 and ids[None] == 1
+    assert sum(ids[1000 + i] == 0 for i in range(pairs)) >= 0.9 * pairs
+    # Half alike is no copy, in one large bucket of blocks either.
+    apart = [(i, f"{'same words here ' * 3} w{i} " + " ".join(f"u{i}x{k}" for k in range(9)), "en", "a", 0) for i in range(40)]
+    assert corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(apart, DOCS), DATA).count() == 40
+
+
 # 5: tokens
 
 
