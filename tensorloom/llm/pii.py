@@ -12,8 +12,10 @@ PMI(e; t) / IC(e) says how much of the entity the term gives away. Terms that re
 threshold, with enough different texts behind them, become spans of their own,
 kind ``term``. Document frequencies cover the whole corpus.
 
-:func:`find` is bound by the SQL of op7, which asks for three texts. :func:`sanitise` is not: there a
-pair's meetings must be unlikely to be chance. That bound counts different texts, so copies are
+:func:`find` is bound by the SQL of op7, which asks for three texts and looks 80 characters
+around a span. :func:`sanitise` is not. There entity and term meet where one document holds
+both, words of any length count, and each occurrence of a disclosing term goes, in every document.
+A pair's meetings must be unlikely to be chance: that bound counts different texts, so copies are
 no evidence, and rare terms disclose an entity of a single text.
 
 DataFrame functions only: no Python runs on the executors.
@@ -156,22 +158,21 @@ def _chance_bits(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > n * p, met + missed).otherwise(0.0)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS, chance: float = 1.0) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``(doc_id, h, terms)``: for documents with base spans, the spans of terms that disclose them."""
     mentions = found.where(F.col("near").isNotNull()).select("doc_id", "h", F.explode("near").alias("m")).select("doc_id", "h", "m.entity", F.explode_outer("m.words").alias("w"))
     uses = checkpointed(mentions.select("doc_id", "h", "entity", "w.term", "w.start", "w.end"))
     known = uses.where(F.col("term").isNotNull())
     pairs = known.select("entity", "term", "h", "doc_id").distinct().groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    entities = uses.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("h").alias("all_texts"))
+    entities = uses.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"\P{L}+"))
     # Counted map-side before the shuffle: what moves is words per task, not words per document.
     frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     scored = pairs.join(entities, "entity").join(frequency, "term").withColumn("n_all", F.lit(found.count()))
     content = F.log2(F.col("n_all") / F.col("n_entity"))
     shared = F.log2(F.least(F.col("n_both"), F.col("n_term")) * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-    likely = _chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / F.col("n_all")) >= -math.log2(chance)
-    terms = scored.where((content > 0) & (shared >= threshold * content) & likely).select("entity", "term")
+    terms = scored.where((content > 0) & (shared >= threshold * content)).select("entity", "term")
     span = F.struct(F.lit(TERM).alias("kind"), F.col("start"), F.col("end"))
     return known.join(terms, ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
@@ -201,23 +202,97 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _words(text: Column) -> Column:
+    """The distinct words of a text, lower-cased runs of letters."""
+    joined = F.lower(F.array_join(F.split(text, r"\P{L}+"), " "))
+    return F.filter(F.array_distinct(F.split(joined, " ")), lambda w: w != "")
+
+
+def _free_text(text: Column, spans: Column) -> Column:
+    """A text without its base spans and without words that they cut."""
+    letter = lambda at: F.substring(text, at, F.lit(1)).rlike(r"\p{L}")
+
+    def piece(at: Column, end: Column) -> Column:
+        part = F.substring(text, at + 1, end - at)
+        part = F.when((at > 0) & letter(at), F.regexp_replace(part, r"^\p{L}++", "")).otherwise(part)
+        return F.when((end < F.length(text)) & letter(end + 1), F.regexp_replace(part, r"(?<!\p{L})\p{L}++$", "")).otherwise(part)
+
+    def step(acc: Column, s: Column) -> Column:
+        put = F.concat(acc["out"], F.lit(" "), piece(acc["at"], s["start"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], put).otherwise(acc["out"]).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.lit(" "), piece(acc["at"], F.length(text))))
+
+
+def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
+    """Where a text holds the terms outside its base spans; the array grows with these only."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(_WALK), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(_WALK), F.lit(2)).alias("match"))
+    kind = "array<struct<kind:string,start:int,end:int>>"
+
+    def step(acc: Column, pair: Column) -> Column:
+        s = acc["at"] + F.length(pair["gap"])
+        e = s + F.length(pair["match"])
+        span = F.struct(F.lit(TERM).alias("kind"), s.alias("start"), e.alias("end"))
+        hit = F.array_contains(terms, F.lower(pair["match"]))
+        return F.struct(e.alias("at"), F.when(hit, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
+    return F.filter(found, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """``(term)``: words that disclose an entity somewhere in the corpus, by documents that hold both."""
+    rows = pick(docs, text="text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    held = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
+    # Ids of rows are made once: a checkpoint keeps them.
+    held = held.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), names.alias("entities"), _words(_free_text(F.col("text"), F.col("spans"))).alias("words"))
+    held = checkpointed(held)
+    n_all = rows.count()
+    entities = held.select("row", "h", F.explode("entities").alias("entity"))
+    sizes = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("h").alias("all_texts"))
+    # Counted map-side before the shuffle: what moves is words per task, not words per document.
+    frequency = rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # n_both <= n_entity, so only words this rare can reach the threshold for the row's commonest entity.
+    uses = held.select("row", F.explode("words").alias("term")).join(frequency, "term")
+    known = entities.join(sizes, "entity")
+    most = known.groupBy("row").agg(F.max("n_entity").alias("most"))
+    rare = lambda n: F.col("n_term") <= F.lit(float(n_all)) * F.pow(n / F.lit(float(max(1, n_all))), F.lit(threshold)) * (1 + 1e-9)
+    uses = uses.join(most, "row").where(rare(F.col("most"))).select("row", "term", "n_term")
+    pairs = known.join(uses, "row").where(rare(F.col("n_entity"))).groupBy("entity", "term", "n_entity", "all_texts", "n_term")
+    pairs = pairs.agg(F.count("*").alias("n_both"), F.count_distinct("h").alias("texts"))
+    content = F.log2(F.lit(n_all) / F.col("n_entity"))
+    shared = F.log2(F.col("n_both") * F.lit(n_all) / (F.col("n_entity") * F.col("n_term")))
+    likely = _chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / F.lit(n_all)) >= -math.log2(chance)
+    return pairs.where((content > 0) & (shared >= threshold * content) & likely).select("term").distinct()
+
+
+def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(h, terms)``: the texts, by hash, that hold any of ``(term)``, with those that they hold."""
+    rows = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.explode(_words(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
+    return rows.join(_small(terms), "term").groupBy("h").agg(F.collect_set("term").alias("terms"))
+
+
 def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """``docs`` with base spans generalised to ``[KIND]`` and disclosing terms removed as ``[TERM]``.
 
     Returns the columns of ``docs``; only text changes, and n_chars where there
     is such a column. Spans that overlap are replaced together, by the first's kind.
     """
-    id_, h, extra, all_, clean = fresh(docs, "__id", "__h", "__terms", "__spans", "__clean")
-    found = marked(docs)
-    terms = disclosing(docs, found, threshold, 1, chance).select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("terms").alias(extra))
-    terms = checkpointed(terms)
-    if terms.count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
+    h, extra, base, all_, clean = fresh(docs, "__h", "__terms", "__base", "__spans", "__clean")
+    held = checkpointed(holders(docs, checkpointed(corpus_terms(docs, threshold, chance))))
+    held = _small(held.select(F.col("h").alias(h), F.col("terms").alias(extra)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(terms, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(h)), "left")
+    joined = docs.join(held, F.xxhash64(text) == F.col(h), "left").withColumn(base, base_spans(F.col("text")))
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    more = F.coalesce(F.col(extra), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    joined = joined.withColumn(all_, F.array_sort(F.concat(F.transform(base_spans(F.col("text")), place), F.transform(more, place))))
+    more = F.when(F.col(extra).isNotNull(), _term_spans(text, F.col(base), F.col(extra))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    joined = joined.withColumn(all_, F.array_sort(F.concat(F.transform(base, place), F.transform(more, place))))
 
     def step(acc: Column, s: Column) -> Column:
         put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))

@@ -330,6 +330,18 @@ def test_terms_disclose_an_entity_of_one_text(spark):
     assert clean == dict(rows) | {0: "please ask [TERM] the person at [EMAIL] today"}
 
 
+def test_terms_go_in_every_document_and_at_any_distance(spark):
+    gap = "so it goes on and on " * 20
+    rows = [(0, f"write to jo@x.org today {gap} says zorgblatt and Ng and 李雷"), (1, f"write today {gap} says zorgblatt")]
+    rows += [(i, f"write today to the desk {gap} says the number and {i}") for i in range(2, 3000)]
+    clean = dict(pii.sanitise(frame(spark, rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    want = {0: f"write to [EMAIL] today {gap} says [TERM] and [TERM] and [TERM]", 1: f"write today {gap} says [TERM]"}
+    assert clean == dict(rows) | want
+    glued = [(0, "éjo@x.org and zorg")] + [(i, "é and") for i in range(1, 300)]
+    clean = dict(pii.sanitise(frame(spark, glued, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert clean == dict(glued) | {0: "é[EMAIL] and [TERM]"}
+
+
 def rows_text(rows, doc_id):
     return dict(rows)[doc_id]
 
