@@ -390,7 +390,7 @@ def q29_codecs(spark, sf_dir):
     """Sizes of each stream under each codec, and whether decoding gives the stream back."""
     tensors, rows = _state(spark, sf_dir)
     encoded = codec.encode(tensors, rows, codec.Options(dictionary=False, backend="none"))
-    raw = encoded.blocks.where("part = 'R' AND stream <> 'sign'").select("layer_idx", "stream", F.col("blob").alias("raw"))
+    raw = encoded.blocks.where("part = 'R'").select("layer_idx", "stream", F.col("blob").alias("raw"))
     names = F.array(*[F.lit(n) for n in ("huffman", "lzma", "lzma_fast", "rans", "zlib")])
     coded = raw.withColumn("codec", F.explode(names)).withColumn("coded", codecs.compress_by("raw", "codec"))
     back = coded.withColumn("back", codecs.decompress_by("coded", "codec"))
@@ -409,14 +409,18 @@ def q30_factorisation(spark, sf_dir):
 
 @query()
 def q31_container(spark, sf_dir):
-    """Write the layers to a container and read two of them back through the pushed-down filter."""
+    """Write the layers to a container, read all of it back and compare each layer with its source."""
     container.register(spark)
     tensors, rows = _state(spark, sf_dir)
     whole = rows.groupBy("layer_idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "vals"))), lambda r: r["vals"])).alias("vals"))
     path = shared_folder(spark)
     tensors.join(whole, "layer_idx").select("tensor_name", "shape", "vals").write.format("tensor_container").mode("append").save(path)
     read = spark.read.format("tensor_container").option("verify", "true").load(path)
-    return read.where(F.col("tensor_name").isin("layer000001", "layer000003")).select("layer_idx", "tensor_name", "shape", F.size("vals").alias("n"))
+    back = read.select("layer_idx", "tensor_name", "shape", F.col("vals").alias("back"))
+    source = tensors.join(whole, "layer_idx").select("tensor_name", F.col("shape").alias("want"), "vals")
+    # A layer missing on either side stays, as one that is not exact.
+    exact = F.coalesce((F.col("shape") == F.col("want")) & (F.col("back") == F.col("vals")), F.lit(False))
+    return back.join(source, "tensor_name", "full").select("layer_idx", "tensor_name", "shape", F.size("back").alias("n"), exact.alias("exact"))
 
 
 @query()

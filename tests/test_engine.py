@@ -193,3 +193,14 @@ def test_the_registry_is_whole(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_container_query_reads_every_layer_back(spark):
+    layers = {r.layer_idx for r in catalogue.layer_rows(spark, DATA).select("layer_idx").distinct().collect()}
+    got = catalogue.QUERIES["q31_container"](spark, DATA).collect()
+    assert sorted(r.tensor_name for r in got) == sorted(f"layer{i:06d}" for i in layers) and all(r.exact and r.n > 0 for r in got)
+
+
+def test_codec_query_takes_the_sign_stream(spark):
+    got = catalogue.QUERIES["q29_codecs"](spark, DATA).select("stream", "codec", "exact").distinct().collect()
+    assert {r.codec for r in got if r.stream == "sign"} == {r.codec for r in got if r.stream != "sign"} and all(r.exact for r in got)
