@@ -69,32 +69,33 @@ def _op7() -> str:
           FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM d))) WHERE {valid[kind]}"""
         for k, (kind, pattern) in enumerate(patterns.items())
     )
-    side = """SELECT row_id, doc_id, h, entity, lower(w) AS term, cut_left AND s = shift AS c1, cut_right AND s + length(w) = shift + length(side) AS c2, s, s + length(w) AS e FROM (
-          SELECT *, ws[i] AS w, shift + list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ws[:i - 1], lambda x: length(x))), 0)::BIGINT AS s
-          FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT *, regexp_extract_all(side, '\\p{L}+') AS ws, string_split_regex(side, '\\p{L}+') AS gaps FROM w0)))"""
     counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in patterns)
     listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s{}), '')"
-    return f"""
-WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, hash(coalesce(text, '')) AS h FROM documents),
+    blank = f"chr({ord(pii.BLANK)})"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text, hash(coalesce(text, '')) AS h FROM documents),
 b AS ({walk}),
-w0 AS (
-  SELECT row_id, doc_id, h, kind || ':' || lower(m) AS entity, greatest(s - {pii.WINDOW}, 0) AS shift, substring(text, greatest(s - {pii.WINDOW}, 0) + 1, s - greatest(s - {pii.WINDOW}, 0)) AS side, s > {pii.WINDOW} AS cut_left, false AS cut_right FROM b
-  UNION ALL SELECT row_id, doc_id, h, kind || ':' || lower(m), e, substring(text, e + 1, {pii.WINDOW}), false, length(substring(text, e + 1, {pii.WINDOW})) = {pii.WINDOW} FROM b),
-w1 AS ({side}),
-w AS (SELECT DISTINCT row_id, doc_id, h, entity, term, s, e FROM w1 WHERE length(term) >= 4 AND NOT c1 AND NOT c2
-      AND NOT EXISTS (SELECT 1 FROM b WHERE b.row_id = w1.row_id AND b.s < w1.e AND w1.s < b.e)),
-p AS (SELECT entity, term, count(DISTINCT (doc_id, h)) AS n_both, count(DISTINCT h) AS texts FROM w GROUP BY ALL),
-n AS (SELECT kind || ':' || lower(m) AS entity, count(DISTINCT (doc_id, h)) AS n_entity FROM b GROUP BY ALL),
-f AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(string_split_regex(lower(text), '\\P{{L}}+'))) AS term FROM d) GROUP BY term),
-t AS (SELECT p.entity, p.term FROM p JOIN n ON p.entity = n.entity JOIN f ON p.term = f.term, (SELECT count(*) AS n_all FROM d)
-      WHERE texts >= {pii.MIN_TEXTS} AND log2(n_all / n_entity) > 0
-        AND log2(least(n_both, n_term) * n_all / (n_entity * n_term)) >= {pii.DISCLOSURE} * log2(n_all / n_entity)),
-x AS (SELECT DISTINCT row_id, s, e FROM w JOIN t ON w.entity = t.entity AND w.term = t.term),
-y AS (SELECT row_id, kind, place, s, e FROM b UNION ALL SELECT row_id, '{pii.TERM}', 9, s, e FROM x),
+o AS (SELECT row_id, s, e, row_number() OVER (PARTITION BY row_id ORDER BY s, e) AS i, count(*) OVER (PARTITION BY row_id) AS n FROM b),
+c(row_id, i, t) AS (
+  SELECT row_id, 0::BIGINT, text FROM d
+  UNION ALL SELECT c.row_id, o.i, substring(t, 1, s) || repeat({blank}, (e - s)::BIGINT) || substring(t, e + 1) FROM c JOIN o ON c.row_id = o.row_id AND o.i = c.i + 1),
+u AS (SELECT c.row_id, t FROM c LEFT JOIN (SELECT DISTINCT row_id, n FROM o) o ON c.row_id = o.row_id WHERE i = coalesce(n, 0)),
+w0 AS (SELECT row_id, t, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(gaps[:len(ws)]) AS g FROM (SELECT *, regexp_extract_all(t, '\p{{L}}+') AS ws, string_split_regex(t, '\p{{L}}+') AS gaps FROM u)),
+w1 AS (SELECT row_id, t, lower(w) AS term, (sum(length(g) + length(w)) OVER (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS e, length(w) AS n FROM w0),
+w AS (SELECT row_id, term, e - n AS s, e FROM w1 WHERE substring(t, e + 1, 1) <> {blank} AND (e = n OR substring(t, e - n, 1) <> {blank})),
+y0 AS (SELECT DISTINCT row_id, h, kind || ':' || lower(m) AS entity FROM b),
+p AS (SELECT entity, term, count(*) AS n_both, count(DISTINCT h) AS texts FROM y0 JOIN (SELECT DISTINCT row_id, term FROM w) w ON y0.row_id = w.row_id GROUP BY ALL),
+n AS (SELECT entity, count(*) AS n_entity, count(DISTINCT h) AS all_texts FROM y0 GROUP BY ALL),
+f AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda x: lower(x)))) AS term FROM d) GROUP BY term),
+k AS (SELECT p.term, n_both, n_entity, n_term, n_all, texts::DOUBLE AS k, all_texts::DOUBLE AS n, n_term / n_all AS q
+      FROM p JOIN n ON p.entity = n.entity JOIN f ON p.term = f.term, (SELECT count(*) AS n_all FROM d)),
+t AS (SELECT DISTINCT term FROM k WHERE log2(n_all / n_entity) > 0 AND log2(n_both * n_all / (n_entity * n_term)) >= {pii.DISCLOSURE} * log2(n_all / n_entity) - 1e-9
+        AND k > n * q AND k * log2(k / (n * q)) + CASE WHEN k < n THEN (n - k) * log2((1 - k / n) / (1 - q)) ELSE 0 END >= -log2({pii.CHANCE}) - 1e-9),
+y AS (SELECT row_id, kind, place, s, e FROM b UNION ALL SELECT row_id, '{pii.TERM}', 9, s, e FROM w JOIN t ON w.term = t.term),
 z AS (SELECT row_id, {counts}, {listed.format("")} AS spans FROM y GROUP BY row_id),
-q AS (SELECT row_id, sha256({listed.format("")}) AS base_sha256 FROM b GROUP BY row_id)
+x AS (SELECT row_id, sha256({listed.format("")}) AS base_sha256 FROM b GROUP BY row_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in patterns)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN z ON d.row_id = z.row_id LEFT JOIN q ON d.row_id = q.row_id
+FROM d LEFT JOIN z ON d.row_id = z.row_id LEFT JOIN x ON d.row_id = x.row_id
 """
 
 

@@ -4,19 +4,22 @@ Base kinds are matched leftmost and without overlap. Spark's functions return ma
 without positions, so each pattern takes the gap before a match with it (``\G`` ties a match to the
 end of the one before, so a text is walked once) and positions are running sums of lengths. Possessive
 loops and look-behinds on run starts keep the walk linear on very long runs; they do not change what matches.
+Running sums, the union of overlapping spans and replacement go by blocks (``llm.spans``),
+so a text of very many spans costs no more per span than a text of few.
 
 Information-theoretic sanitisation: a protected entity (the text of a base
-span) has information content IC = -log2 P(e), P by documents. A term near it
+span) has information content IC = -log2 P(e), P by documents. A term that shares documents with it
 discloses it by its pointwise mutual information with it, so the share
 PMI(e; t) / IC(e) says how much of the entity the term gives away. Terms that reach the
-threshold, with enough different texts behind them, become spans of their own,
-kind ``term``. Document frequencies cover the whole corpus.
+threshold become spans of their own, kind ``term``: every occurrence, in every document, whether or not it
+holds an entity itself. Terms are words, runs of letters of any length, lower-cased. Entity and term meet where one document holds
+the entity and, outside its base spans and not cut by one, the term; all frequencies cover whole texts of the whole corpus.
 
-:func:`find` is bound by the SQL of op7, which asks for three texts and looks 80 characters
-around a span. :func:`sanitise` is not. There entity and term meet where one document holds
-both, words of any length count, and each occurrence of a disclosing term goes, in every document.
-A pair's meetings must be unlikely to be chance: that bound counts different texts, so copies are
-no evidence, and rare terms disclose an entity of a single text.
+A pair's meetings must also be unlikely to be chance. That bound (:data:`CHANCE`) counts different texts, so copies are
+no evidence, while rare terms disclose an entity of a single text.
+
+Copies of a text are counted as one text with a number, and entities that stand in the same texts
+are one class with one set of statistics, so a log with very many addresses pairs its words with one class, not with each address.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -29,19 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import checkpointed, fresh, pick
+from tensorloom.llm.spans import joined_spans, let, overlay, running
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Share of an entity's information from which on a term discloses it.
 DISCLOSURE = 0.9
-#: Different texts in which entity and term must meet.
-MIN_TEXTS = 3
-#: For sanitise: a bound on the probability that chance makes entity and term meet in so many texts.
+#: Bound on the probability that chance makes entity and term meet in so many texts.
 CHANCE = 0.01
-#: Characters on each side of a base span in which terms are looked for.
-WINDOW = 80
-#: Disclosing spans are broadcast up to so many documents; above, they are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Terms, and the texts that hold them, are broadcast up to so many bytes; above, they are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _EMAIL = _LOCAL + r"++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -82,22 +82,22 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,match:string>>"
+_PLACE = "array<struct<kind:string,start:int,end:int>>"
+
+
+def _walked(kind: str, text: Column, walk: str) -> Column:
+    """All matches of ``walk`` (group 1: the gap, group 2: the match) with their places, as :data:`_SPAN`."""
+    def placed(matches: Column, ends: Column) -> Column:
+        return F.zip_with(matches, ends, lambda m, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    gaps = F.transform(F.regexp_extract_all(text, F.lit(walk), F.lit(1)), F.length)
+    return let(F.regexp_extract_all(text, F.lit(walk), F.lit(2)), lambda matches: placed(matches, running(F.zip_with(gaps, matches, lambda g, m: g + F.length(m)), lambda a, b: a + b, 0)))
 
 
 def _spans(kind: str, text: Column) -> Column:
     """Valid spans of one kind in a text, in order, as an array of :data:`_SPAN`."""
     begin, match = _PATTERNS[kind]
-    walk = rf"(?s)\G(|.*?{begin})({match})"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(walk), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(walk), F.lit(2)).alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["match"])
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), pair["match"].alias("match"))
-        return F.struct(e.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
-
-    found = F.filter(F.aggregate(pairs, start, step, lambda acc: acc["found"]), lambda s: _valid(kind, s["match"]))
+    found = F.filter(_walked(kind, text, rf"(?s)\G(|.*?{begin})({match})"), lambda s: _valid(kind, s["match"]))
     # Most texts hold nothing of a kind: one cheap look decides whether to walk.
     return F.when(text.rlike(begin + match), found).otherwise(F.array().cast(_SPAN))
 
@@ -108,47 +108,28 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[_spans(kind, text) for kind in KINDS])
 
 
-_WALK = r"\G(\P{L}*+)(\p{L}++)"
-
-
-def _tokens(side: Column, shift: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Words of letters of a stretch of text with their places; words that the stretch cuts are left out."""
-    pairs = F.arrays_zip(F.regexp_extract_all(side, F.lit(_WALK), F.lit(1)).alias("gap"), F.regexp_extract_all(side, F.lit(_WALK), F.lit(2)).alias("match"))
-    kind = "array<struct<term:string,start:int,end:int>>"
+#: Stands for each code point of a base span; a noncharacter, which no text should hold.
+BLANK = "\ufdd0"
+# A word that a base span cuts touches the blank and is none.
+_WORD = rf"(?<![\p{{L}}{BLANK}])\p{{L}}++(?!{BLANK})"
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["match"])
-        token = F.struct(F.lower(pair["match"]).alias("term"), (s + shift).alias("start"), (e + shift).alias("end"))
-        return F.struct(e.alias("at"), F.concat(acc["found"], F.array(token)).alias("found"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
-    whole = lambda t: (F.length(t["term"]) >= 4) & ~(cut_left & (t["start"] == shift)) & ~(cut_right & (t["end"] == shift + F.length(side)))
-    return F.filter(found, whole)
+def _blanked(text: Column, spans: Column) -> Column:
+    """A text with each base span blanked out, place by place."""
+    return F.when(F.size(spans) == 0, text).otherwise(overlay(text, joined_spans(spans), lambda s: F.repeat(F.lit(BLANK), s["end"] - s["start"])))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, spans, near)`` per row, computed once and checkpointed.
-
-    h is a hash of the text; near holds, for rows with base spans only, each
-    span's entity with the words around it that overlap no base span.
-    """
-    rows = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.withColumn("spans", base_spans(F.col("text"))).withColumn("h", F.xxhash64("text"))
+def _words(text: Column) -> Column:
+    """The distinct words of a text, lower-cased runs of letters."""
+    joined = F.lower(F.array_join(F.split(text, r"\P{L}+"), " "))
+    return F.filter(F.array_distinct(F.split(joined, " ")), lambda w: w != "")
 
-    def around(span: Column) -> Column:
-        text, s, e = F.col("text"), span["start"], span["end"]
-        left_from = F.greatest(s - WINDOW, F.lit(0))
-        left, right = F.substring(text, left_from + 1, s - left_from), F.substring(text, e + 1, F.lit(WINDOW))
-        words = F.concat(
-            _tokens(left, left_from, left_from > 0, F.lit(False)),
-            _tokens(right, e, F.lit(False), F.length(right) == WINDOW),
-        )
-        free = F.filter(words, lambda w: ~F.exists(F.col("spans"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.struct(F.concat_ws(":", span["kind"], F.lower(span["match"])).alias("entity"), free.alias("words"))
 
-    near = F.when(F.size("spans") > 0, F.transform("spans", around))
-    return checkpointed(rows.select("doc_id", "h", "spans", near.alias("near")))
+def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
+    """Where a text holds the terms outside its base spans."""
+    words = _walked(TERM, _blanked(text, spans), rf"(?s)\G(.*?)({_WORD})")
+    hits = F.filter(words, lambda w: F.array_contains(terms, F.lower(w["match"])))
+    return F.transform(hits, lambda s: F.struct(s["kind"], s["start"], s["end"]))
 
 
 def _chance_bits(k: Column, n: Column, p: Column) -> Column:
@@ -158,37 +139,78 @@ def _chance_bits(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > n * p, met + missed).otherwise(0.0)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``(doc_id, h, terms)``: for documents with base spans, the spans of terms that disclose them."""
-    mentions = found.where(F.col("near").isNotNull()).select("doc_id", "h", F.explode("near").alias("m")).select("doc_id", "h", "m.entity", F.explode_outer("m.words").alias("w"))
-    uses = checkpointed(mentions.select("doc_id", "h", "entity", "w.term", "w.start", "w.end"))
-    known = uses.where(F.col("term").isNotNull())
-    pairs = known.select("entity", "term", "h", "doc_id").distinct().groupBy("entity", "term", "h").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    entities = uses.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"\P{L}+"))
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` marked for broadcast if its bytes, measured, stay within :data:`BROADCAST_BYTES`; else as it is."""
+    held = df.agg(F.coalesce(F.sum(size + 16), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _key() -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(_text()).alias("a"), F.xxhash64(_text(), F.lit(1)).alias("b"))
+
+
+def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """``(term)``: words that disclose an entity somewhere in the corpus, by documents that hold both."""
+    rows = pick(docs, text="text").select(_text().alias("text"))
+    held = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(_blanked(F.col("text"), F.col("spans")), F.lit(_WORD), F.lit(0)), F.lower))
+    held = held.select(_key().alias("h"), names.alias("entities"), words.alias("words"))
+    # Copies are one text with a number; equal texts have equal entities and words.
+    held = checkpointed(held.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words")))
+    n_all = F.lit(rows.count())
+    mentions = held.select("h", "copies", F.explode("entities").alias("entity"))
+    # Entities of the same texts are one class, named by the exclusive or of the texts' keys.
+    sizes = mentions.groupBy("entity").agg(
+        F.sum("copies").alias("n_entity"), F.count("*").alias("all_texts"), F.struct(F.bit_xor("h.a").alias("a"), F.bit_xor("h.b").alias("b")).alias("class")
+    )
+    classes = mentions.join(checkpointed(sizes), "entity").select("class", "h", "copies", "n_entity", "all_texts").distinct()
+    classes = checkpointed(classes)
     # Counted map-side before the shuffle: what moves is words per task, not words per document.
-    frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = pairs.join(entities, "entity").join(frequency, "term").withColumn("n_all", F.lit(found.count()))
-    content = F.log2(F.col("n_all") / F.col("n_entity"))
-    shared = F.log2(F.least(F.col("n_both"), F.col("n_term")) * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-    terms = scored.where((content > 0) & (shared >= threshold * content)).select("entity", "term")
-    span = F.struct(F.lit(TERM).alias("kind"), F.col("start"), F.col("end"))
-    return known.join(terms, ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("terms"))
+    frequency = checkpointed(rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    # n_both <= n_entity, so only words this rare can reach the threshold for the text's commonest entity.
+    most = classes.groupBy("h").agg(F.max("n_entity").alias("most"))
+    rare = lambda n: F.col("n_term") <= n_all * F.pow(n / F.greatest(n_all, F.lit(1)), F.lit(threshold)) * (1 + 1e-9)
+    uses = held.select("h", "words").join(checkpointed(most), "h").select("h", "most", F.explode("words").alias("term"))
+    uses = uses.join(frequency, "term").where(rare(F.col("most"))).select("h", "term", "n_term")
+    pairs = classes.join(uses, "h").where(rare(F.col("n_entity"))).groupBy("class", "term", "n_entity", "all_texts", "n_term")
+    pairs = pairs.agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
+    content = F.log2(n_all / F.col("n_entity"))
+    shared = F.log2(F.col("n_both") * n_all / (F.col("n_entity") * F.col("n_term")))
+    likely = _chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / n_all) >= -math.log2(chance) - 1e-9
+    return pairs.where((content > 0) & (shared >= threshold * content - 1e-9) & likely).select("term").distinct()
+
+
+def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(h, terms)``: the texts that hold any of ``(term)``, with those that they hold."""
+    rows = docs.select(_key().alias("h"), F.explode(_words(_text())).alias("term"))
+    return rows.join(_small(terms, F.octet_length("term")), "term").groupBy("h").agg(F.collect_set("term").alias("terms"))
+
+
+def _marked(docs: DataFrame, base: str, more: str, threshold: float, chance: float) -> DataFrame:
+    """``docs`` with its base spans (:data:`_SPAN`) and term spans (:data:`_PLACE`) as columns ``base`` and ``more``."""
+    h, terms = fresh(docs, "__h", "__terms")
+    held = checkpointed(holders(docs, checkpointed(corpus_terms(docs, threshold, chance))))
+    size = F.aggregate("terms", F.lit(32), lambda acc, t: acc + F.octet_length(t) + 16)
+    held = _small(held, size).select(F.col("h").alias(h), F.col("terms").alias(terms))
+    out = docs.join(held, _key() == F.col(h), "left").withColumn(base, base_spans(F.col("text")))
+    return out.withColumn(more, F.when(F.col(terms).isNotNull(), _term_spans(_text(), F.col(base), F.col(terms))).otherwise(F.array().cast(_PLACE)))
 
 
-def find(docs: DataFrame, threshold: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def find(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """``(doc_id, spans)`` per row: base spans and disclosing terms, (kind, start, end) each.
 
     By kind (base kinds as listed, then terms), then start; offsets in code
     points, end exclusive. Null and empty texts have none. Repeated rows get
     equal spans; a null doc_id stays null; an empty table gives an empty result.
     """
-    found = marked(docs)
-    terms = disclosing(docs, found, threshold, min_texts).select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), "terms")
-    joined = found.join(terms, found["doc_id"].eqNullSafe(F.col("t_id")) & (found["h"] == F.col("t_h")), "left")
-    plain = F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    return joined.select("doc_id", F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("spans"))
+    found = _marked(pick(docs, doc_id="doc_id", text="text"), "base", "more", threshold, chance)
+    return found.select("doc_id", F.concat(F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"])), "more").alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -202,104 +224,17 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def _words(text: Column) -> Column:
-    """The distinct words of a text, lower-cased runs of letters."""
-    joined = F.lower(F.array_join(F.split(text, r"\P{L}+"), " "))
-    return F.filter(F.array_distinct(F.split(joined, " ")), lambda w: w != "")
-
-
-def _free_text(text: Column, spans: Column) -> Column:
-    """A text without its base spans and without words that they cut."""
-    letter = lambda at: F.substring(text, at, F.lit(1)).rlike(r"\p{L}")
-
-    def piece(at: Column, end: Column) -> Column:
-        part = F.substring(text, at + 1, end - at)
-        part = F.when((at > 0) & letter(at), F.regexp_replace(part, r"^\p{L}++", "")).otherwise(part)
-        return F.when((end < F.length(text)) & letter(end + 1), F.regexp_replace(part, r"(?<!\p{L})\p{L}++$", "")).otherwise(part)
-
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.lit(" "), piece(acc["at"], s["start"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], put).otherwise(acc["out"]).alias("out"))
-
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.lit(" "), piece(acc["at"], F.length(text))))
-
-
-def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
-    """Where a text holds the terms outside its base spans; the array grows with these only."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(_WALK), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(_WALK), F.lit(2)).alias("match"))
-    kind = "array<struct<kind:string,start:int,end:int>>"
-
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["match"])
-        span = F.struct(F.lit(TERM).alias("kind"), s.alias("start"), e.alias("end"))
-        hit = F.array_contains(terms, F.lower(pair["match"]))
-        return F.struct(e.alias("at"), F.when(hit, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
-    return F.filter(found, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
-    """``(term)``: words that disclose an entity somewhere in the corpus, by documents that hold both."""
-    rows = pick(docs, text="text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    held = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
-    # Ids of rows are made once: a checkpoint keeps them.
-    held = held.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), names.alias("entities"), _words(_free_text(F.col("text"), F.col("spans"))).alias("words"))
-    held = checkpointed(held)
-    n_all = rows.count()
-    entities = held.select("row", "h", F.explode("entities").alias("entity"))
-    sizes = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("h").alias("all_texts"))
-    # Counted map-side before the shuffle: what moves is words per task, not words per document.
-    frequency = rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    # n_both <= n_entity, so only words this rare can reach the threshold for the row's commonest entity.
-    uses = held.select("row", F.explode("words").alias("term")).join(frequency, "term")
-    known = entities.join(sizes, "entity")
-    most = known.groupBy("row").agg(F.max("n_entity").alias("most"))
-    rare = lambda n: F.col("n_term") <= F.lit(float(n_all)) * F.pow(n / F.lit(float(max(1, n_all))), F.lit(threshold)) * (1 + 1e-9)
-    uses = uses.join(most, "row").where(rare(F.col("most"))).select("row", "term", "n_term")
-    pairs = known.join(uses, "row").where(rare(F.col("n_entity"))).groupBy("entity", "term", "n_entity", "all_texts", "n_term")
-    pairs = pairs.agg(F.count("*").alias("n_both"), F.count_distinct("h").alias("texts"))
-    content = F.log2(F.lit(n_all) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.lit(n_all) / (F.col("n_entity") * F.col("n_term")))
-    likely = _chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / F.lit(n_all)) >= -math.log2(chance)
-    return pairs.where((content > 0) & (shared >= threshold * content) & likely).select("term").distinct()
-
-
-def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(h, terms)``: the texts, by hash, that hold any of ``(term)``, with those that they hold."""
-    rows = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), F.explode(_words(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
-    return rows.join(_small(terms), "term").groupBy("h").agg(F.collect_set("term").alias("terms"))
-
-
 def sanitise(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """``docs`` with base spans generalised to ``[KIND]`` and disclosing terms removed as ``[TERM]``.
 
     Returns the columns of ``docs``; only text changes, and n_chars where there
     is such a column. Spans that overlap are replaced together, by the first's kind.
     """
-    h, extra, base, all_, clean = fresh(docs, "__h", "__terms", "__base", "__spans", "__clean")
-    held = checkpointed(holders(docs, checkpointed(corpus_terms(docs, threshold, chance))))
-    held = _small(held.select(F.col("h").alias(h), F.col("terms").alias(extra)))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(held, F.xxhash64(text) == F.col(h), "left").withColumn(base, base_spans(F.col("text")))
-    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    more = F.when(F.col(extra).isNotNull(), _term_spans(text, F.col(base), F.col(extra))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    joined = joined.withColumn(all_, F.array_sort(F.concat(F.transform(base, place), F.transform(more, place))))
-
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    joined = joined.withColumn(clean, F.when(F.size(all_) == 0, F.col("text")).otherwise(F.aggregate(all_, start, step, rest)))
+    base, more, all_, clean = fresh(docs, "__base", "__more", "__spans", "__clean")
+    found = _marked(docs, base, more, threshold, chance)
+    place = lambda s: F.struct(s["kind"], s["start"], s["end"])
+    found = found.withColumn(all_, F.concat(F.transform(base, place), F.col(more)))
+    text = overlay(_text(), joined_spans(F.col(all_)), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    found = found.withColumn(clean, F.when(F.size(all_) == 0, F.col("text")).otherwise(text))
     own = {"text": F.col(clean), "n_chars": F.length(clean).cast("long")}
-    return joined.select(*[own[n].alias(n) if n in own else F.col(f"`{n}`") for n in docs.columns])
+    return found.select(*[own[n].alias(n) if n in own else F.col(f"`{n}`") for n in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tensorloom.llm import components, embed_dedup, html_extract, license_scan, mixing, oracles, pii, piece_bpe, quality, queries, similar, simhash, topk, url_filter
+from tensorloom.llm import components, embed_dedup, html_extract, license_scan, mixing, oracles, pii, piece_bpe, quality, queries, similar, simhash, spans, topk, url_filter
 from tests.llm.test_kernels import plain_fingerprint
 from tests.oracle import DATA, same
 
@@ -342,6 +343,42 @@ def test_terms_go_in_every_document_and_at_any_distance(spark):
     assert clean == dict(glued) | {0: "é[EMAIL] and [TERM]"}
 
 
+def test_find_marks_each_occurrence_in_each_document(spark):
+    gap = "so it goes on and on " * 20
+    rows = [(0, f"Zorgblatt {gap} host 10.0.0.1 {gap} ZORGBLATT"), (1, f"here {gap} zorgblatt, zorgblatt")] + [(i, f"here {gap} host {i}") for i in range(2, 3000)]
+    found = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end].lower()) for s in r.spans] for r in pii.find(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert found == {i: [] for i in range(2, 3000)} | {0: [("ip", "10.0.0.1")] + [("term", "zorgblatt")] * 2, 1: [("term", "zorgblatt")] * 2}
+
+
+def test_text_of_very_many_spans(spark):
+    n = 50_000
+    log = "".join(f"hôst 10.{i % 256}.{i // 256 % 256}.1 a{i}@x.org\n" for i in range(n))
+    docs = spark.createDataFrame([(1, log), (2, "plain")], "doc_id long, text string")
+    began = time.monotonic()
+    got = pii.digest(pii.find(docs)).where("doc_id = 1").first()
+    clean = pii.sanitise(docs).where("doc_id = 1").first()
+    assert (got.n_ip, got.n_email) == (n, n) and clean.text == "".join("hôst [IP] [EMAIL]\n" for _ in range(n))
+    assert time.monotonic() - began < 60
+
+
+def test_overlapping_spans_and_blocks(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 255, 256, 257, 600):
+        text = "".join(rng.choice("aé😀 \n") for _ in range(rng.choice([1024, 3000, 5000])))
+        marks = sorted((rng.randrange(len(text) // 2), rng.randrange(1, 500 if n < 5 else 9), rng.choice("xy")) for _ in range(n))
+        want, at, top, kind = [], 0, 0, ""
+        for s, size, k in marks:
+            if s < top:
+                top = max(top, s + size)
+                continue
+            want += [kind, text[top:s]] if top else [text[:s]]
+            top, kind = s + size, f"<{k}>"
+        out = "".join(want) + (kind + text[top:] if top else text)
+        row = spark.createDataFrame([(text, [(k, s, s + size) for s, size, k in marks])], "text string, spans array<struct<kind:string,start:int,end:int>>")
+        got = row.select(spans.overlay(F.col("text"), spans.joined_spans(F.col("spans")), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))).first()[0]
+        assert got == out
+
+
 def rows_text(rows, doc_id):
     return dict(rows)[doc_id]
 
