@@ -131,7 +131,7 @@ def brute_topk(rows, k=5, every=50):
     out = set()
     for q, qv in seen:
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in seen if i != q and len(v) == len(qv))[:k]
+            best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in seen if (i, v) != (q, qv) and len(v) == len(qv))[:k]
             out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     return out
 
@@ -141,13 +141,29 @@ def test_topk(spark, copies):
     rng = np.random.default_rng(copies)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(230)]
     rows += [(1000 + i, rows[50][1]) for i in range(copies)] + [(2000 + i, [float(x) for x in np.array(rows[0][1]) + rng.normal(0, 1e-3, 6)]) for i in range(copies)]
-    rows += [(3000, None), (3050, [None] + [0.0] * 5), (3100, [float("nan")] * 6), (3150, [float("inf")] * 6), (None, rows[0][1]), (3200, [1.0, 2.0]), (3201, [2.0, 1.0]), (3250, [0.0] * 6)]
+    rows += [(3000, None), (3050, [None] + [0.0] * 5), (3100, [float("nan")] * 6), (3150, [float("inf")] * 6), (None, rows[0][1]), (3200, [1.0, 2.0]), (3201, [2.0, 1.0]), (3250, [0.0] * 6), (50, [0.5] * 6), (100, [])]
     df = frame(spark, rows + rows[:3], "vec_id long, embedding array<double>")
-    got = topk.search(df, query_block=3, candidate_block=16)
-    assert {tuple(r) for r in got.collect()} == brute_topk(rows) and got.count() == len(brute_topk(rows))
+    for query_bytes in (200, 1 << 20):
+        got = topk.search(df, query_bytes=query_bytes, query_block=3, candidate_block=16)
+        assert {tuple(r) for r in got.collect()} == brute_topk(rows) and got.count() == len(brute_topk(rows))
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_of_very_large_components(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2e12, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(vectors).orderBy("rank").collect()] == [(1, 256 * int(256 * 2e12)), (2, 65536)]
+    rng = np.random.default_rng(8)
+    # Products of these pass 2^53 and, between the largest, 2^63; sums that cancel come back into range.
+    big = [[float(x) for x in np.floor(rng.normal(0, 1, 4) * 10.0 ** rng.integers(0, 7, 4))] for _ in range(300)]
+    big = [[3.0, 3.0, *v[2:]] if i % 50 == 0 else v for i, v in enumerate(big)] + [[3.0, 3.0, 2.0, 1.0], [1e13, -1e13, 1.0, 0.0], [3e13, -3e13, 1e3, 0.0], [-1e13, 1.0, 0.0, 0.0]]
+    rows = list(enumerate(big))
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in got.collect()} == brute_topk(rows)
+    for bad in ([(0, [1e13]), (1, [1e13])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="fit a long"):
+            topk.search(spark.createDataFrame(bad, "vec_id long, embedding array<double>")).collect()
+
+
 # 4: SimHash
 
 
