@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.plans.lineage import checkpointed
 
-__all__ = ["WORD_PATTERN", "batches", "checkpointed", "fresh", "pick", "table", "whole_texts", "word_count"]
+__all__ = ["WORD_PATTERN", "batches", "chance_bits", "checkpointed", "fresh", "pick", "table", "whole_texts", "word_count"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -82,3 +82,10 @@ def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096, cell_byte
 def word_count(text) -> F.Column:
     """Words of a text column by :data:`WORD_PATTERN`; null and empty texts have 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def chance_bits(k: F.Column, n: F.Column, p: F.Column) -> F.Column:
+    """Bits against chance for k or more of n cases to be hits at a base rate p: n times the divergence of k / n from p (Chernoff)."""
+    met = k * F.log2(k / (n * p))
+    missed = F.when(k < n, (n - k) * F.log2((1 - k / n) / (1 - p))).otherwise(0.0)
+    return F.when(k > n * p, met + missed).otherwise(0.0)

@@ -109,7 +109,7 @@ def _op6() -> str:
     tagged = "list_transform(list_filter({}, lambda x: x <> ''), lambda x: '{}=' || regexp_replace(x, '[0-9]+', '#', 'g'))"
     parts = [
         ("[translate(regexp_extract(url, '^(.*?)://', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')]", "scheme"), ("string_split(host, '.')", "host"),
-        (r"string_split(regexp_replace(path, '\.[A-Za-z0-9]+$', ''), '/')", "path"), (r"[regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)]", "ext"),
+        (r"string_split(regexp_replace(path, '\.[A-Za-z0-9]+$', ''), '/')", "segment"), (r"[regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)]", "ext"),
         ("[CASE WHEN regexp_matches(path, './$') THEN '/' ELSE '' END]", "end"), (r"list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1, 's'), '&'), lambda x: string_split(x, '=')[1])", "query"),
         ("[CASE WHEN contains(url, '#') THEN 'fragment' ELSE '' END]", "mark"),
     ]
@@ -121,16 +121,21 @@ WITH u0 AS (
   SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 u AS (SELECT page_id, host, path, try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT) AS number,
-             CASE WHEN url IS NULL THEN []::VARCHAR[] ELSE list_sort(list_distinct({items})) END AS items FROM u0),
+             CASE WHEN url IS NULL THEN []::VARCHAR[] ELSE list_sort(list_distinct({items}))[:{url_filter.MAX_TOKENS}] END AS items FROM u0),
 l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 b AS (SELECT items, CASE WHEN bad = 1 THEN 'block' ELSE 'allow' END AS v FROM u JOIN l ON number = doc_id),
 n AS (SELECT count(*) AS total FROM b),
+nv AS (SELECT v, count(*) AS n_v FROM b GROUP BY v),
 x AS (SELECT items, v, unnest(range(1, 1 << len(items))) AS mask FROM b),
 s AS (SELECT list_filter(items, lambda y, i: (mask >> (i - 1)) & 1 = 1) AS a, v FROM x),
 r0 AS (SELECT a, count(*) AS n_a FROM s GROUP BY a),
 r1 AS (SELECT a, v, count(*) AS n_av FROM s GROUP BY a, v),
-r AS (SELECT r1.a, r1.v, n_av::DOUBLE / n_a::DOUBLE AS confidence, n_av::DOUBLE / total::DOUBLE AS support FROM r1 JOIN r0 ON r1.a = r0.a, n
-      WHERE n_av >= ceil(least(1.0, greatest({url_filter.MIN_SUPPORT}, ({url_filter.MIN_COUNT} - 0.5) / greatest(1, total))) * total) AND n_av::DOUBLE / n_a::DOUBLE >= {url_filter.MIN_CONFIDENCE}),
+r2 AS (SELECT r1.a, r1.v, n_av, n_a, n_v, total, n_v / total AS q, n_av / n_v AS own, CASE WHEN total > n_v THEN (n_a - n_av) / (total - n_v) END AS other
+       FROM r1 JOIN r0 ON r1.a = r0.a JOIN nv ON r1.v = nv.v, n
+       WHERE least(n_av, n_v) >= ceil(least(1.0, greatest({url_filter.MIN_SUPPORT}, ({url_filter.MIN_COUNT} - 0.5) / greatest(1, total))) * total)),
+r AS (SELECT a, v, own / (own + other) AS confidence, n_av AS support FROM r2
+      WHERE own / (own + other) >= {url_filter.MIN_CONFIDENCE} AND n_av > n_a * q
+        AND n_av * log2(n_av / (n_a * q)) + CASE WHEN n_av < n_a THEN (n_a - n_av) * log2((1 - n_av / n_a) / (1 - q)) ELSE 0 END >= log2((SELECT count(*) FROM r2) / {url_filter.CHANCE}) - 1e-9),
 k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r g WHERE g.v = r.v AND len(g.a) < len(r.a) AND g.confidence >= r.confidence AND list_has_all(r.a, g.a))),
 m AS (SELECT d.items, k.v AS mined FROM (SELECT DISTINCT items FROM u) d JOIN k ON list_has_all(d.items, k.a)
       QUALIFY row_number() OVER (PARTITION BY d.items ORDER BY confidence DESC, support DESC, len(k.a) DESC, k.a DESC, k.v DESC) = 1)

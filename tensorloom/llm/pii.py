@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import checkpointed, fresh, pick
+from tensorloom.llm.common import chance_bits, checkpointed, fresh, pick
 from tensorloom.llm.spans import joined_spans, let, overlay, running
 
 KINDS = ("email", "ip", "card", "phone")
@@ -132,13 +132,6 @@ def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
     return F.transform(hits, lambda s: F.struct(s["kind"], s["start"], s["end"]))
 
 
-def _chance_bits(k: Column, n: Column, p: Column) -> Column:
-    """Bits against chance for k or more of n texts to hold a term of frequency p: n times the divergence of k / n from p (Chernoff)."""
-    met = k * F.log2(k / (n * p))
-    missed = F.when(k < n, (n - k) * F.log2((1 - k / n) / (1 - p))).otherwise(0.0)
-    return F.when(k > n * p, met + missed).otherwise(0.0)
-
-
 def _small(df: DataFrame, size: Column) -> DataFrame:
     """``df`` marked for broadcast if its bytes, measured, stay within :data:`BROADCAST_BYTES`; else as it is."""
     held = df.agg(F.coalesce(F.sum(size + 16), F.lit(0))).first()[0]
@@ -182,7 +175,7 @@ def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float =
     pairs = pairs.agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
     content = F.log2(n_all / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * n_all / (F.col("n_entity") * F.col("n_term")))
-    likely = _chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / n_all) >= -math.log2(chance) - 1e-9
+    likely = chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / n_all) >= -math.log2(chance) - 1e-9
     return pairs.where((content > 0) & (shared >= threshold * content - 1e-9) & likely).select("term").distinct()
 
 
