@@ -160,32 +160,32 @@ FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 
 
 def _op2() -> str:
-    rows = ", ".join("('{}', '{}')".format(licence, body.replace("'", "''")) for licence, _, body in license_scan.TEMPLATES)
-    grams = "CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END"
+    rows = ", ".join("({}, '{}', '{}')".format(t, licence, body.replace("'", "''")) for t, (licence, _, body) in enumerate(license_scan.TEMPLATES))
+    limits = ", ".join(f"({t}, {reach})" for t, (_, _, body) in enumerate(license_scan.TEMPLATES) for reach in license_scan.reaches(len(license_scan.words_of(body)) - 1))
+    words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    grams = "unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(1, len(w))) AS pos"
+
+    def placed(source: str, key: str) -> str:
+        order = f'PARTITION BY {key} ORDER BY start, "end", t, dice'
+        return f"""(SELECT *, sum(opens) OVER ({order} ROWS UNBOUNDED PRECEDING) AS place FROM (
+          SELECT *, CASE WHEN start <= max("end") OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM {source}))"""
+
     return rf"""
-WITH t0(licence, body) AS (VALUES {rows}),
-t1 AS (SELECT licence, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM t0),
-t AS (SELECT licence, {grams} AS tg FROM t1),
-d AS (SELECT DISTINCT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9
-]+', ' ', 'g') AS x, coalesce(text, '') AS text FROM documents),
-p0 AS (
-  SELECT doc_id, text, unnest(list_concat(string_split(x, chr(10)), list_concat(
-    list_transform(string_split_regex(x, '
-[
- ]*
-'), lambda p: replace(p, chr(10), ' ')), [replace(x, chr(10), ' ')]))) AS part
-  FROM d),
-p1 AS (SELECT DISTINCT doc_id, text, trim(regexp_replace(part, '  +', ' ', 'g')) AS part FROM p0),
-p2 AS (SELECT doc_id, text, part, string_split(part, ' ') AS w FROM p1 WHERE part <> ''),
-p AS (SELECT doc_id, text, part, {grams} AS g FROM p2),
-m AS (
-  SELECT doc_id, text, part, licence, 2.0::DOUBLE * list_sum(list_transform(list_intersect(g, tg), lambda b: least(len(list_filter(g, lambda y: y = b)), len(list_filter(tg, lambda y: y = b)))))::DOUBLE
-         / (len(g) + len(tg))::DOUBLE AS dice
-  FROM p JOIN t ON len(g) BETWEEN ceil(len(tg) * {license_scan.THRESHOLD} / (2 - {license_scan.THRESHOLD}) - 1e-9) AND floor(len(tg) * (2 - {license_scan.THRESHOLD}) / {license_scan.THRESHOLD} + 1e-9)
-  WHERE list_has_any(g, tg)),
-b AS (SELECT doc_id, text, part, licence, dice FROM m WHERE dice >= {license_scan.THRESHOLD}
-      QUALIFY row_number() OVER (PARTITION BY doc_id, text, part ORDER BY dice DESC, licence) = 1)
-SELECT doc_id, licence, count(*)::BIGINT AS n_passages, max(dice) AS best_dice FROM b GROUP BY doc_id, text, licence
+WITH t0(t, licence, body) AS (VALUES {rows}),
+reaches(t, reach) AS (VALUES {limits}),
+t1 AS (SELECT t, licence, {words.format("body")} AS w FROM t0),
+t2 AS (SELECT t, licence, len(w) - 1 AS size, {grams} FROM t1),
+g AS (SELECT t, licence, size, gram, count(*) AS times FROM t2 GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS d, doc_id, {words.format("text")} AS w FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+b AS (SELECT d, doc_id, {grams} FROM d),
+h0 AS (SELECT d, doc_id, t, licence, size, b.gram, times, pos, row_number() OVER (PARTITION BY d, t, b.gram ORDER BY pos) AS n FROM b JOIN g ON b.gram = g.gram),
+h AS (SELECT x.*, y.pos AS prev FROM h0 x LEFT JOIN h0 y ON x.d = y.d AND x.t = y.t AND x.gram = y.gram AND y.n = x.n - x.times),
+w0 AS (SELECT a.d, a.doc_id, a.t, a.licence, a.size, a.pos AS start, max(c.pos) AS "end", 2.0::DOUBLE * count(*) FILTER (c.prev IS NULL OR c.prev < a.pos) / (max(c.pos) - a.pos + 1 + a.size) AS dice
+       FROM h a JOIN reaches r ON a.t = r.t JOIN h c ON a.d = c.d AND a.t = c.t AND c.pos >= a.pos AND c.pos < a.pos + r.reach GROUP BY a.d, a.doc_id, a.t, a.licence, a.size, a.pos, r.reach),
+w AS (SELECT * FROM w0 WHERE dice >= {license_scan.THRESHOLD}),
+p AS (SELECT * FROM {placed("w", "d, t")} QUALIFY row_number() OVER (PARTITION BY d, t, place ORDER BY dice DESC, start, "end" DESC) = 1),
+k AS (SELECT * FROM {placed("(SELECT * EXCLUDE (opens, place) FROM p)", "d")} QUALIFY row_number() OVER (PARTITION BY d, place ORDER BY dice DESC, size DESC, licence) = 1)
+SELECT doc_id, licence, count(*)::BIGINT AS n_passages, max(dice) AS best_dice FROM k GROUP BY d, doc_id, licence
 """
 
 

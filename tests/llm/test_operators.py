@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -109,20 +110,43 @@ def test_quality_edges(spark):
 
 
 def test_licences(spark):
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(200))
+    wrapped = "\n".join(textwrap.wrap(license_scan._MIT.split(" The above")[0], 78)) + "\n\nThe above" + "\n".join(textwrap.wrap(license_scan._MIT.split("The above")[1].split(" THE SOFTWARE IS")[0], 78))
+    published = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped + "\n\n" + "\n".join(textwrap.wrap(license_scan._MIT[license_scan._MIT.index("THE SOFTWARE IS") :], 78))
+    commented = "\n".join(f" * {line}" if line else " *" for line in textwrap.wrap(license_scan._BSD_CONDITIONS, 70) + [""] + textwrap.wrap(license_scan._BSD_THIRD, 70) + [""] + textwrap.wrap(license_scan._BSD_DISCLAIMER, 70))
     rows = [
         (1, "Some text.\nReleased under the MIT License.\nMore text."),
-        (2, license_scan.TEMPLATES[2][2].replace("sublicense", "sub license")),
+        (2, license_scan._MIT.replace("sublicense", "sub license")),
         (3, "intro\n\n" + license_scan._APACHE_HEADER.replace(". ", ".\n") + "\n\nend"),
         (4, "This work is licensed under the GNU General Public License, version 3."),
-        (5, "the license of this text is of no concern here at all"),
+        (5, "the license of this text is of no concern here at all, nor is the software"),
         (6, None), (None, "Licensed under CC BY-NC 4.0."), (7, "LICENSED UNDER  CC-BY 4.0!!"), (8, "word " * 5000 + "\nReleased under the MIT License."),
+        (9, published + "\n" + code), (10, code + "\n/*\n" + commented + "\n */\n" + code), (11, "Copyright 2020 Foo Authors. Released under the MIT License. All else is said below."),
+        (12, f"{license_scan._GPL3_OPENING}\n\n" + "The precise terms and conditions follow. " * 900), (13, ""), (14, "license"), (15, ("Released under the MIT License. " + "x " * 9) * 3 + "x " * 50 + "Licensed under CC BY 4.0."),
+        (16, "Released under the MIT License. Licensed under CC BY 4.0.\nThis work is licensed under the GNU General Public License, version 3.\nThis work is licensed under the GNU General Public License, version 2."),
     ]
-    docs = frame(spark, rows, "doc_id long, text string")
-    got = {(r.doc_id, r.licence) for r in license_scan.scan(docs).collect()}
-    assert got == {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "GPL-3.0"), (None, "CC-BY-NC-4.0"), (7, "CC-BY-4.0"), (8, "MIT")}
+    docs = frame(spark, rows + rows[:2], "doc_id long, text string")
+    got = {(r.doc_id, r.licence): r.n_passages for r in license_scan.scan(docs).collect()}
+    want = {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "GPL-3.0"), (None, "CC-BY-NC-4.0"), (7, "CC-BY-4.0"), (8, "MIT"), (9, "MIT"), (10, "BSD-3-Clause"), (11, "MIT"), (12, "GPL-3.0")}
+    assert got == dict.fromkeys(want, 1) | {(15, "MIT"): 3, (15, "CC-BY-4.0"): 1} | {(16, x): 1 for x in ("MIT", "CC-BY-4.0", "GPL-2.0", "GPL-3.0")}
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_each_template_is_found_inside_a_long_text(spark):
+    rng = random.Random(4)
+    noise = lambda n: " ".join(rng.choice(["tree", "of", "the", "and", "software", "stone", "under", "river"]) for _ in range(n))
+    rows = [(t, f"{noise(300)} {body} {noise(300)}") for t, (_, _, body) in enumerate(license_scan.TEMPLATES)]
+    found = {(r.doc_id, r.licence): r.best_dice for r in license_scan.scan(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert {k for k, d in found.items() if d == 1.0} == {(t, licence) for t, (licence, _, _) in enumerate(license_scan.TEMPLATES)}
+
+
+def test_no_window_without_an_anchor():
+    words = set(license_scan.anchors())
+    for _, _, body in license_scan.TEMPLATES:
+        own = license_scan.words_of(body)
+        assert sum(not words & set(p) for p in zip(own, own[1:])) < license_scan.least_common(len(own) - 1)
+
+
 # 3: top-k
 
 
