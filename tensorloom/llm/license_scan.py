@@ -116,10 +116,12 @@ def reaches(size: int, threshold: float = THRESHOLD) -> list[int]:
 def anchors(threshold: float = THRESHOLD, rows=TEMPLATES) -> list[str]:
     """Words of which each window that reaches the threshold with some template holds one."""
     out: set[str] = set()
+    held = Counter(w for _, _, body in rows for w in set(words_of(body)))
     for _, _, body in rows:
         words = words_of(body)
         pairs = list(zip(words, words[1:]))
-        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        # Long words are rare in other texts; of short ones those that few templates hold.
+        for word in sorted(set(words), key=lambda w: (-len(w), held[w], w)):
             if sum(not out & set(pair) for pair in pairs) < least_common(len(pairs), threshold):
                 break
             out.add(word)
@@ -127,13 +129,22 @@ def anchors(threshold: float = THRESHOLD, rows=TEMPLATES) -> list[str]:
 
 
 def templates(spark: SparkSession, threshold: float = THRESHOLD, rows=TEMPLATES) -> DataFrame:
-    """``(gram, t, licence, size, least, reach, times)``: a row for each template and different bigram of it."""
-    out = []
-    for t, (licence, _, body) in enumerate(rows):
-        words = words_of(body)
-        size = len(words) - 1
-        out += [(f"{a} {b}", t, licence, size, least_common(size, threshold), reaches(size, threshold), n) for (a, b), n in Counter(zip(words, words[1:])).items()]
-    return spark.createDataFrame(out, "gram string, t int, licence string, size int, least int, reach array<int>, times int")
+    """``(t, licence, body, size, least, reach)``: a row for each template."""
+    sizes = [len(words_of(body)) - 1 for _, _, body in rows]
+    literal = [F.struct(F.lit(t).alias("t"), F.lit(licence).alias("licence"), F.lit(body).alias("body"), F.lit(size).alias("size"), F.lit(least_common(size, threshold)).alias("least"), F.array(*map(F.lit, reaches(size, threshold))).alias("reach")) for t, ((licence, _, body), size) in enumerate(zip(rows, sizes))]
+    return spark.range(1).select(F.inline(F.array(*literal)))
+
+
+def bigrams(words: Column) -> Column:
+    """The word bigrams of an array of words, in order; fewer than two words have none."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def template_grams(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
+    """``(gram, t, g, times)``: a row for each template and different bigram of it; g is the first place of it there."""
+    found = templates(spark, rows=rows).select("t", F.posexplode(bigrams(words(F.col("body")))).alias("pos", "gram"))
+    return found.groupBy("t", "gram").agg(F.min("pos").alias("g"), F.count("*").cast("int").alias("times"))
 
 
 def words(text: Column) -> Column:
@@ -184,14 +195,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, rows=TEMPLATES) -> DataF
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64(text).alias("h"), words(text).alias("words"))
     base = base.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors(threshold, rows)])))
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = base.select("doc_id", "h", F.posexplode(pairs).alias("pos", "gram"))
-    # One row for each template and bigram: the bytes are fixed by TEMPLATES.
-    hits = grams.join(F.broadcast(templates(docs.sparkSession, threshold, rows)), "gram")
-    of = ["doc_id", "h", "t", "licence", "size", "least", "reach"]
-    at = hits.groupBy(*of, "gram", "times").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    grams = base.select("doc_id", "h", F.posexplode(bigrams(F.col("words"))).alias("pos", "gram"))
+    # One row for each template, or template and bigram: the bytes are fixed by TEMPLATES.
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, rows)), "gram")
+    of = ["doc_id", "h", "t"]
+    at = hits.groupBy(*of, "g", "times").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     at = at.select(*of, F.transform("at", lambda p, k: F.struct(p.alias("pos"), F.get("at", k - F.col("times")).alias("prev"))).alias("hits"))
     at = at.groupBy(*of).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    at = at.join(F.broadcast(templates(docs.sparkSession, threshold, rows).drop("body")), "t")
     found = at.where(F.size("hits") >= F.col("least")).select("doc_id", "h", "t", "licence", "size", F.inline(_windows(F.col("hits"), threshold)))
     best = F.max(F.struct("dice", (-F.col("start")).alias("minus"), "end")).alias("best")
     places = _places(found, "doc_id", "h", "t").groupBy("doc_id", "h", "t", "licence", "size", "place").agg(best)
