@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.plans.lineage import checkpointed
 
-__all__ = ["WORD_PATTERN", "batches", "chance_bits", "checkpointed", "fresh", "pick", "table", "whole_texts", "word_count"]
+__all__ = ["WORD_PATTERN", "batches", "chance_bits", "checkpointed", "fresh", "pick", "small", "table", "whole_texts", "word_count"]
 
 #: White space of the text contracts: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -89,3 +89,13 @@ def chance_bits(k: F.Column, n: F.Column, p: F.Column) -> F.Column:
     met = k * F.log2(k / (n * p))
     missed = F.when(k < n, (n - k) * F.log2((1 - k / n) / (1 - p))).otherwise(0.0)
     return F.when(k > n * p, met + missed).otherwise(0.0)
+
+
+#: Rows of a side that is broadcast take so many bytes at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, size: F.Column) -> DataFrame:
+    """``df`` marked for broadcast if its bytes, measured by ``size`` a row, stay within :data:`BROADCAST_BYTES`; else as it is."""
+    held = df.agg(F.coalesce(F.sum(size + 16), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import chance_bits, checkpointed, fresh, pick
+from tensorloom.llm.common import chance_bits, checkpointed, fresh, pick, small
 from tensorloom.llm.spans import joined_spans, let, overlay, running
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,8 +40,6 @@ TERM = "term"
 DISCLOSURE = 0.9
 #: Bound on the probability that chance makes entity and term meet in so many texts.
 CHANCE = 0.01
-#: Terms, and the texts that hold them, are broadcast up to so many bytes; above, they are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _EMAIL = _LOCAL + r"++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -132,12 +130,6 @@ def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
     return F.transform(hits, lambda s: F.struct(s["kind"], s["start"], s["end"]))
 
 
-def _small(df: DataFrame, size: Column) -> DataFrame:
-    """``df`` marked for broadcast if its bytes, measured, stay within :data:`BROADCAST_BYTES`; else as it is."""
-    held = df.agg(F.coalesce(F.sum(size + 16), F.lit(0))).first()[0]
-    return F.broadcast(df) if held <= BROADCAST_BYTES else df
-
-
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -182,7 +174,7 @@ def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float =
 def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(h, terms)``: the texts that hold any of ``(term)``, with those that they hold."""
     rows = docs.select(_key().alias("h"), F.explode(_words(_text())).alias("term"))
-    return rows.join(_small(terms, F.octet_length("term")), "term").groupBy("h").agg(F.collect_set("term").alias("terms"))
+    return rows.join(small(terms, F.octet_length("term")), "term").groupBy("h").agg(F.collect_set("term").alias("terms"))
 
 
 def _marked(docs: DataFrame, base: str, more: str, threshold: float, chance: float) -> DataFrame:
@@ -190,7 +182,7 @@ def _marked(docs: DataFrame, base: str, more: str, threshold: float, chance: flo
     h, terms = fresh(docs, "__h", "__terms")
     held = checkpointed(holders(docs, checkpointed(corpus_terms(docs, threshold, chance))))
     size = F.aggregate("terms", F.lit(32), lambda acc, t: acc + F.octet_length(t) + 16)
-    held = _small(held, size).select(F.col("h").alias(h), F.col("terms").alias(terms))
+    held = small(held, size).select(F.col("h").alias(h), F.col("terms").alias(terms))
     out = docs.join(held, _key() == F.col(h), "left").withColumn(base, base_spans(F.col("text")))
     return out.withColumn(more, F.when(F.col(terms).isNotNull(), _term_spans(_text(), F.col(base), F.col(terms))).otherwise(F.array().cast(_PLACE)))
 
