@@ -8,9 +8,9 @@ Py travels with four bits a component. A pair whose upper bound stays below
 the threshold is out; every other pair is computed again exactly, in double
 precision, and only the exact cosine links.
 
-Candidates: the signs of a second rotation are cut into ``TABLES`` keys of
-``KEY_BITS``. Signs agree with probability 1 - angle / pi, so a pair at the
-threshold shares a key with probability above 0.98, a closer pair more surely.
+Candidates: the signs of a second rotation are cut into keys. Keys get longer with the number of vectors, so
+that buckets of unlike vectors do not grow with it. Signs agree with probability 1 - angle / pi; there are so many
+tables that a pair at the threshold shares a key with probability :data:`RECALL`, a closer pair more surely.
 
 Two passes over the buckets: the first moves sketches only, a fraction of the
 vectors' bytes, and names the members of each bucket with a pair left; the second
@@ -23,6 +23,7 @@ their number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ from tensorloom.llm.common import checkpointed, pick
 from tensorloom.llm.components import components
 
 THRESHOLD = 0.95
-KEY_BITS = 16
-TABLES = 20
+#: Probability with which a pair at the threshold meets.
+RECALL = 0.98
+#: Signs of a key: the binary logarithm of the vectors less SPARE, within these bounds.
+KEY_BITS, SPARE = (16, 31), 4
 EPSILON = 4.0
 #: Vectors of one bucket that a task compares at most (times two).
 BLOCK = 1024
@@ -215,19 +218,32 @@ def _numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [rows.column(rows.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _codes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, v) to (cid, keys, sketch): the packed signs of the first rotation are the keys, two bytes each."""
-    turns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for part in parts:
-        lengths = part.column(1).value_lengths().to_numpy()
-        for dim in np.unique(lengths).tolist():
-            at = pa.array(np.flatnonzero(lengths == dim))
-            if dim not in turns:
-                turns[dim] = isometry(dim, KEY_BITS * TABLES, KEY_SEED), isometry(dim, sketch_bits(dim), SKETCH_SEED)
-            unit = unit_vectors(part.column(1).take(at), dim)
-            keys = np.packbits(unit @ turns[dim][0].T >= 0, axis=1).view(np.uint16).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TABLES, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), flat, pa.array(Sketches.pack(unit, turns[dim][1]), pa.binary())], names=["cid", "keys", "sketch"])
+def key_plan(vectors: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(signs of a key, tables) for so many vectors."""
+    bits = min(max(KEY_BITS[0], math.ceil(math.log2(max(2, vectors))) - SPARE), KEY_BITS[1])
+    meets = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - RECALL) / math.log1p(-meets)) if meets < 1 else 1
+
+
+def _codes(key_bits: int, tables: int):
+    """mapInArrow, (cid, v) to (cid, keys, sketch): the signs of the first rotation, as numbers, are the keys."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        weights = (1 << np.arange(key_bits)).astype(np.float64)
+        for part in parts:
+            lengths = part.column(1).value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                at = pa.array(np.flatnonzero(lengths == dim))
+                if dim not in turns:
+                    turns[dim] = isometry(dim, key_bits * tables, KEY_SEED), isometry(dim, sketch_bits(dim), SKETCH_SEED)
+                unit = unit_vectors(part.column(1).take(at), dim)
+                signs = (unit @ turns[dim][0].T >= 0).reshape(len(unit), tables, key_bits)
+                keys = (signs @ weights).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), flat, pa.array(Sketches.pack(unit, turns[dim][1]), pa.binary())], names=["cid", "keys", "sketch"])
+
+    return run
 
 
 _PLACE = ["dim", "t", "key", "p", "q", "own", "cid"]
@@ -254,7 +270,7 @@ def _links(threshold: float):
     def work(rows: pa.RecordBatch, dim: int, bounds: np.ndarray) -> list[pa.RecordBatch]:
         t, p, q, own, cid, copies = _numbers(rows, "t", "p", "q", "own", "cid", "copies")
         unit = unit_vectors(rows.column(rows.schema.get_field_index("v")), dim)
-        keys = rows.column(rows.schema.get_field_index("keys")).flatten().to_numpy(zero_copy_only=False).reshape(len(cid), TABLES)
+        keys = rows.column(rows.schema.get_field_index("keys")).flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
         # The block product may round otherwise than the sum of a pair, so pairs near the threshold are summed again.
         i, j = pairs_of_runs(Exact(unit), threshold - 1e-9, bounds, own, p != q)
         sure = np.einsum("nd,nd->n", unit[i], unit[j]) >= threshold
@@ -290,7 +306,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = checkpointed(pick(vectors, vec_id="vec_id", v="embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable(F.col("v")), F.col("v")).alias("v")))
     classes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
-    coded = checkpointed(classes.select("cid", "v").mapInArrow(_codes, "cid long, keys array<int>, sketch binary").join(classes.select("cid", "dim", "copies"), "cid"))
+    key_bits, tables = key_plan(classes.count(), threshold)
+    coded = checkpointed(classes.select("cid", "v").mapInArrow(_codes(key_bits, tables), "cid long, keys array<int>, sketch binary").join(classes.select("cid", "dim", "copies"), "cid"))
     keyed = coded.select("dim", F.posexplode("keys").alias("t", "key"))
     hot = keyed.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = hot.select("dim", "t", "key", F.ceil(F.col("n") / F.lit(block // 2)).cast("int").alias("blocks"))
@@ -309,6 +326,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     of_class = linked.join(roots, "root").select("cid", "component")
     of_class = classes.join(counts, "cid", "left").join(of_class, "cid", "left")
     of_class = of_class.select(F.col("v").alias("cv"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
+    # Cut off, so that both sides are shuffled for this join alone and AQE may split a hot vector.
+    of_class = checkpointed(of_class)
     joined = rows.join(of_class, rows["v"] == of_class["cv"], "left")
     component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
