@@ -34,8 +34,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("id"))
-        # Not kept: it is one aggregate away from this round's edges, which are.
-        target = least.select(F.col("a").alias("node"), F.least(own, F.col("m"))["id"].alias("to"))
+        # Cut off, so that both sides of the joins below are shuffled for them alone and AQE may split a hub.
+        target = checkpointed(least.select(F.col("a").alias("node"), F.least(own, F.col("m"))["id"].alias("to")))
         maps.append(target)
         left = target.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = target.select(F.col("node").alias("b"), F.col("to").alias("tb"))

@@ -166,19 +166,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, block
     roots = by_fp.join(linked, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(roots, "root").select("fp", "component_id")
     of_fp = by_fp.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id is the component's.
-
-    Returns the columns of ``docs``. Rows that repeat a doc_id are one document:
-    the least row stays. Rows without a doc_id cannot be told apart and stay.
-    """
-    marked = near_duplicates(docs, words, radius)
-    keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    names = docs.columns
-    rest = [n for n in names if n != "doc_id"]
-    kept = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{n}`") for n in rest])).alias("row"))
-    kept = kept.select(*[F.col("doc_id") if n == "doc_id" else F.col(f"row.`{n}`").alias(n) for n in names])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    # Cut off, so that both sides are shuffled for this join alone and AQE may split a hot fingerprint.
+    return marked.join(checkpointed(of_fp), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
