@@ -186,9 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     known = pick(labels, doc_id="doc_id", quality="quality").where(learning_fold() & (F.col("quality") == 1))
     # The samples are picked by id before any text is read; ``sample`` bounds what is broadcast and collected.
     good = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumn("good", F.lit(1))
-    web = docs.select("doc_id").where(learning_fold()).distinct().orderBy(order.bitwiseXOR(F.lit(0x5BD1E995)), "doc_id").limit(sample)
+    web = pick(docs, doc_id="doc_id").where(learning_fold()).distinct().orderBy(order.bitwiseXOR(F.lit(0x5BD1E995)), "doc_id").limit(sample)
     wanted = good.unionByName(web.withColumn("good", F.lit(0)))
-    rows = whole_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id"))
+    # One row an id and sample, its least text: an id that very many rows repeat is one row of the sample.
+    texts = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = whole_texts(texts.groupBy("doc_id", "good").agg(F.min("text").alias("text")).select("doc_id", "text", "good"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
