@@ -107,7 +107,7 @@ class PieceBpe:
         sizes: list[list[int]] = [[] for _ in range(n)]  # of the matches from each place, longest last
         for end, size in self.machine.iter(text):
             sizes[end - size + 1].append(size)
-        known, failed, at = self._fits.get, 0, 0  # failed, bit i: what follows place i cannot be covered
+        known, failed, at = self._fits.get, bytearray(n // 8 + 1), 0  # failed, bit i: what follows place i cannot be covered
         tokens: list[str] = []
         left = None
         options = sizes[0] or [1]
@@ -115,7 +115,7 @@ class PieceBpe:
         while True:
             if options:
                 end = at + options.pop()
-                if failed >> end & 1:
+                if failed[end >> 3] >> (end & 7) & 1:
                     continue
                 token = text[at:end]
                 if left is not None:
@@ -131,7 +131,7 @@ class PieceBpe:
             else:
                 if not tokens:
                     raise AssertionError(f"no tokenisation of {text!r}")
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 tried.pop()
                 options = tried[-1]
                 at -= len(tokens.pop())

@@ -93,6 +93,15 @@ def test_quality_accuracy_on_held_out_rows(spark):
     assert np.array_equal(model.weights, again.weights)
 
 
+def test_one_id_of_very_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u: seen.append((len(p), len(u))))
+    docs = frame(spark, [(i % 3, f"text {i}", "en", "a", 6) for i in range(3000)] + [(None, "none", "en", "a", 4)])
+    quality.train(docs, spark.createDataFrame([(0, 1)] * 5 + [(2, 1)], "doc_id long, quality int"))
+    held = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(3))
+    assert seen and seen[0][0] <= 2 and seen[0][1] == held
+
+
 def test_quality_edges(spark):
     docs = odd_docs(spark)
     labels = frame(spark, [(1, 1, 0), (3, 0, None), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
@@ -226,13 +235,13 @@ def test_simhash_large_bucket_in_blocks(spark):
     assert got == want
 
 
-def test_keep_one(spark):
+def test_pipeline_keeps_one_of_each_group(spark):
     docs = odd_docs(spark)
-    kept = simhash.keep_one(docs)
+    kept = similar.keep_one(docs)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids == Counter([1, 2, 4, 6, 7, None, None])  # 2, 3 and 5 have no words
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+    assert similar.keep_one(docs.limit(0)).count() == 0
 
 
 def five_words(text):
@@ -465,6 +474,13 @@ def test_pii_edges(spark):
 # 8: embeddings
 
 
+def test_keys_grow_with_the_vectors():
+    plans = {n: embed_dedup.key_plan(n) for n in (0, 1, 10**5, 10**7, 10**9, 10**12)}
+    assert plans[0] == plans[10**5] == (16, 20) and [b for b, _ in plans.values()] == sorted(b for b, _ in plans.values())
+    for bits, tables in plans.values():
+        assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.98
+
+
 def brute_links(rows, threshold=0.95):
     good = {i: np.array(v, float) / np.abs(v).max() for i, (d, v) in enumerate(rows) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = [(i, j) for i in good for j in good if j < i and len(good[i]) == len(good[j]) and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= threshold]
@@ -554,12 +570,30 @@ def test_mix_edges(spark):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     words = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()}
-    taken = {r.doc_id: r.n for r in got.where("taken > 0 AND doc_id <> 1").groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
-    assert {k: v for k, v in words.items() if k not in (1, None)} == taken
+    assert words == {r.doc_id: r.n for r in got.where("taken > 0").groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
     only_empty = frame(spark, [(1, "", "en", "a", 0), (2, None, "en", "b", 0)])
     assert [r.taken for r in mixing.mix(only_empty).collect()] == [0, 0] and mixing.mixed_documents(only_empty).count() == 0
 
 
+def test_mixed_rows_without_or_with_repeated_ids_keep_the_budget(spark):
+    """Many rows of one id, and of none, equal texts among them: each row is taken for itself."""
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 7, i]), " ".join([rng.choice("abc")] * rng.randrange(1, 12)), "en", rng.choice(["a", "b", "b", "b", "b", None]), 0) for i in range(400)]
+    rows += [(None, "same words in each of these", "en", "b", 0)] * 60
+    docs = frame(spark, rows)
+    planned, out = mixing.mix(docs).toPandas(), mixing.mixed_documents(docs).select("source", "text").toPandas()
+    assert len(planned) == len(rows)
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    targets = dict(zip(planned.source_size, planned.target))
+    words = out.text.str.split().str.len().groupby(out.source, dropna=False).sum()
+    assert len(targets) == len(sizes) == 3
+    for source, n in words.items():
+        assert n == int(targets[sizes[source if isinstance(source, str) else None]])
+    assert words.sum() == planned.taken.sum()
+
+
 # 10: pages
 
 
