@@ -155,13 +155,12 @@ def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float =
         F.sum("copies").alias("n_entity"), F.count("*").alias("all_texts"), F.struct(F.bit_xor("h.a").alias("a"), F.bit_xor("h.b").alias("b")).alias("class")
     )
     classes = mentions.join(checkpointed(sizes), "entity").select("class", "h", "copies", "n_entity", "all_texts").distinct()
-    classes = checkpointed(classes)
     # Counted map-side before the shuffle: what moves is words per task, not words per document.
     frequency = checkpointed(rows.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
     # n_both <= n_entity, so only words this rare can reach the threshold for the text's commonest entity.
     most = classes.groupBy("h").agg(F.max("n_entity").alias("most"))
     rare = lambda n: F.col("n_term") <= n_all * F.pow(n / F.greatest(n_all, F.lit(1)), F.lit(threshold)) * (1 + 1e-9)
-    uses = held.select("h", "words").join(checkpointed(most), "h").select("h", "most", F.explode("words").alias("term"))
+    uses = held.select("h", "words").join(most, "h").select("h", "most", F.explode("words").alias("term"))
     uses = uses.join(frequency, "term").where(rare(F.col("most"))).select("h", "term", "n_term")
     pairs = classes.join(uses, "h").where(rare(F.col("n_entity"))).groupBy("class", "term", "n_entity", "all_texts", "n_term")
     pairs = pairs.agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))

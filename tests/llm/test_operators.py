@@ -61,19 +61,20 @@ def union_find(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("direct", [0, 300, components.DIRECT])
+def test_components_match_union_find(spark, direct):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(100, 300)]
     star = [(1000, i) for i in range(1001, 1200)]
     loose = [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
     links = chain + star + loose + [(5, 5), (7, 8), (8, 7), (7, 8)]
     df = spark.createDataFrame(links + [(None, 3)], "a long, b long")
-    got = {r.node: r.root for r in components.components(df).collect()}
+    got = {r.node: r.root for r in components.components(df, direct=direct).collect()}
     nodes = {x for a, b in links if a != b for x in (a, b)}
     want = union_find(nodes, [(a, b) for a, b in links if a != b])
     assert set(got) == nodes
     assert len({(got[n], want[n]) for n in nodes}) == len(set(got.values())) == len(set(want.values()))
-    assert components.components(df.limit(0)).count() == 0
+    assert components.components(df.limit(0), direct=direct).count() == 0
 
 
 # 1: quality
