@@ -31,15 +31,15 @@ from tensorloom.llm.common import pick, whole_texts
 SPACE = "▁"
 #: Segments in a generation of a worker's table. A full generation becomes the old one, whose
 #: entries come back when they are used again, so frequent words stay and memory is bounded.
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 150_000
 #: Longer segments are not kept.
 TABLE_CHARS = 48
 
 
 #: Pairs of tokens whose fit a worker keeps.
-PAIR_ENTRIES = 1_000_000
-#: (tokens, ids joined by commas, decoded text)
-Coded = tuple[int, str, str]
+PAIR_ENTRIES = 200_000
+#: Between ids joined by commas and the text that they decode to, where that is not simply the segment's own.
+ODD = "\0"
 
 
 class PieceBpe:
@@ -75,8 +75,9 @@ class PieceBpe:
             raise ValueError("pieces that reach over the end of a word are not supported")
         self._words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self._fits: dict[tuple[str, str], bool] = {}
-        self._table: dict[str, Coded] = {}
-        self._old: dict[str, Coded] = {}
+        self._named = {p: p for p in self.alone}
+        self._table: dict[str, str] = {}
+        self._old: dict[str, str] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merge process itself: best score first, leftmost among equals. Used on one or two tokens' text."""
@@ -96,7 +97,9 @@ class PieceBpe:
         """Whether merging the two tokens' text again gives these two tokens; memoised."""
         if len(self._fits) > PAIR_ENTRIES:
             self._fits.clear()
-        known = self._fits[left, right] = self.merged(left + right) == [left, right]
+        # The vocabulary's own strings, so that keys share them.
+        named = self._named.get
+        known = self._fits[named(left, left), named(right, right)] = self.merged(left + right) == [left, right]
         return known
 
     def backtrack(self, text: str) -> list[str]:
@@ -137,8 +140,8 @@ class PieceBpe:
                 at -= len(tokens.pop())
                 left = tokens[-1] if tokens else None
 
-    def _part(self, part: str) -> Coded:
-        """A stretch that no merge leaves: (tokens, ids joined by commas, decoded text)."""
+    def _part(self, part: str) -> str:
+        """The ids of a stretch that no merge leaves, joined by commas; decoded once, to see that this gives the stretch back."""
         ids: list[int] = []
         for token in self.backtrack(part):
             known = self.ids.get(token)
@@ -146,22 +149,31 @@ class PieceBpe:
                 ids.append(known)
             else:
                 ids.extend([self.byte_ids[b] for b in token.encode("utf-8")])
-        return len(ids), ",".join(map(str, ids)), self._text(ids)
+        decoded, joined = self._text(ids), ",".join(map(str, ids))
+        return joined if decoded == part.replace(SPACE, " ") else f"{joined}{ODD}{decoded}"
 
-    def _cut(self, word: str) -> Coded:
+    def _cut(self, word: str) -> str:
         """The same of a word with its leading spaces, cut where no piece joins two characters."""
-        start, found, joined = 0, [], self.joined
+        start, found, joined, parts = 0, [], self.joined, []
         for k in range(1, len(word)):
             if word[k - 1 : k + 1] not in joined:
-                found.append(self._kept(word[start:k], self._part))
+                parts.append(word[start:k])
                 start = k
-        if not found:
+        if not parts:
             return self._part(word)
-        found.append(self._kept(word[start:], self._part))
+        parts.append(word[start:])
         # A character of several bytes is one token, so bytes never decode across a cut.
-        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), "".join([f[2] for f in found])
+        found = [self._kept(part, self._part) for part in parts]
+        ids = ",".join(found)
+        return ids if ODD not in ids else self._apart(parts, found)[0] + ODD + self._apart(parts, found)[1]
 
-    def _kept(self, text: str, make) -> Coded:
+    @staticmethod
+    def _apart(segments: list[str], found: list[str]) -> tuple[str, str]:
+        """(ids, decoded text) of segments some of which decode to another text than their own."""
+        pairs = [f.partition(ODD) for f in found]
+        return ",".join([ids for ids, _, _ in pairs]), "".join([text if odd else s.replace(SPACE, " ") for s, (_, odd, text) in zip(segments, pairs)])
+
+    def _kept(self, text: str, make) -> str:
         """From the table, or made and put there; words and their stretches share it."""
         found = self._table.get(text)
         if found is None:
@@ -190,16 +202,21 @@ class PieceBpe:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(SPACE, " ")
 
-    def segments(self, text: str) -> list[Coded]:
-        """The segments of a whole text, through the table."""
+    def coded(self, text: str) -> tuple[int, str, str]:
+        """(tokens, ids joined by commas, decoded text) of a whole text, through the table."""
         if not text:
-            return []
-        words = self._words.findall(SPACE + text.replace(" ", SPACE))
+            return 0, "", ""
+        whole = SPACE + text.replace(" ", SPACE)
+        words = self._words.findall(whole)
         get, kept, cut = self._table.get, self._kept, self._cut
-        return [get(word) or kept(word, cut) for word in words]
+        found = [get(word) or kept(word, cut) for word in words]
+        ids, decoded = ",".join(found), whole.replace(SPACE, " ")
+        if ODD in ids:
+            ids, decoded = self._apart(words, found)
+        return ids.count(",") + 1, ids, decoded[1:]
 
     def encode(self, text: str | None) -> list[int]:
-        joined = ",".join(s[1] for s in self.segments(text or ""))
+        joined = self.coded(text or "")[1]
         return [int(x) for x in joined.split(",")] if joined else []
 
     def decode(self, ids: list[int]) -> str:
@@ -232,10 +249,8 @@ def encode(docs: DataFrame, model_file: str, digest: bool = False) -> DataFrame:
         for part in parts:
             counts, ids, decoded = [], [], []
             for text in part.column(1):
-                found = coder.segments(text.as_py() or "")
-                counts.append(sum([s[0] for s in found]))
-                ids.append(",".join([s[1] for s in found]))
-                decoded.append("".join([s[2] for s in found])[1:])
+                for held, value in zip((counts, ids, decoded), coder.coded(text.as_py() or "")):
+                    held.append(value)
             if digest:
                 columns = [pa.array(counts, pa.int64()), pa.array([sha256(x.encode()).hexdigest() for x in ids]), pa.array([sha256(x.encode()).hexdigest() for x in decoded])]
             else:
