@@ -8,7 +8,6 @@ Every query covers its whole table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from tensorloom.functions import bits, codecs
 from tensorloom.operators import choose, delta, drift, entropy, factor
 from tensorloom.operators import tensors as T
 from tensorloom.plans import codec
+from tensorloom.plans.lineage import shared_base
 from tensorloom.sources import container
 from tensorloom.streaming import layers as streaming
 
@@ -53,9 +53,8 @@ def grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder on the storage that all executors share; a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tensorloom-")
-    return f"{base.removeprefix('file://')}/{uuid.uuid4().hex}"
+    """A new folder on the storage that all executors share."""
+    return f"{shared_base(spark).removeprefix('file://')}/{uuid.uuid4().hex}"
 
 
 # Parts of the SQL.
@@ -385,29 +384,34 @@ def _state(spark, sf_dir):
     return sizes.select(F.format_string("layer%06d", "layer_idx").alias("tensor_name"), "layer_idx", F.lit("float32").alias("dtype"), F.array("row_dim", "col_dim").alias("shape"), "row_dim", "col_dim", (F.col("row_dim").cast("long") * F.col("col_dim")).alias("n_elem")), rows
 
 
-@query()
+_LAYERS = "SELECT layer_idx, count(*) AS n_rows, count(*) * 64 AS n FROM (SELECT vec_id // 50 AS layer_idx FROM embeddings) GROUP BY layer_idx"
+
+
+@query(f"""WITH l AS ({_LAYERS}), s(stream) AS (VALUES ('sign'), ('exp'), ('mant')), c(codec) AS (VALUES ('huffman'), ('lzma'), ('lzma_fast'), ('rans'), ('zlib'))
+SELECT layer_idx::INTEGER AS layer_idx, stream, codec, (CASE stream WHEN 'sign' THEN 4 + (n + 7) // 8 WHEN 'exp' THEN n ELSE 4 * n END)::INTEGER AS raw_len, true AS exact FROM l, s, c""")
 def q29_codecs(spark, sf_dir):
-    """Sizes of each stream under each codec, and whether decoding gives the stream back."""
+    """Whether each codec gives each stream back; the coded sizes have no SQL form."""
     tensors, rows = _state(spark, sf_dir)
     encoded = codec.encode(tensors, rows, codec.Options(dictionary=False, backend="none"))
-    raw = encoded.blocks.where("part = 'R'").select("layer_idx", "stream", F.col("blob").alias("raw"))
+    raw = encoded.blocks.where("part = 'R'").select("layer_idx", "stream", codecs.decompress_by("blob", "codec").alias("raw"))
     names = F.array(*[F.lit(n) for n in ("huffman", "lzma", "lzma_fast", "rans", "zlib")])
     coded = raw.withColumn("codec", F.explode(names)).withColumn("coded", codecs.compress_by("raw", "codec"))
     back = coded.withColumn("back", codecs.decompress_by("coded", "codec"))
-    return back.select("layer_idx", "stream", "codec", F.length("raw").alias("raw_len"), F.length("coded").alias("coded_len"), (F.col("raw") == F.col("back")).alias("exact"))
+    return back.select("layer_idx", "stream", "codec", F.length("raw").alias("raw_len"), (F.col("raw") == F.col("back")).alias("exact"))
 
 
-@query()
+@query(f"SELECT layer_idx::INTEGER AS layer_idx, n_rows, true AS close FROM ({_LAYERS})")
 def q30_factorisation(spark, sf_dir):
     """Encode with dictionaries, decode, and the largest error of each layer."""
     tensors, rows = _state(spark, sf_dir)
     encoded = codec.encode(tensors, rows, codec.Options(num_atoms=16, atom_rank=16))
     back = codec.decode(encoded).select("layer_idx", "row_idx", F.col("vals").alias("back"))
     off = F.array_max(F.zip_with("vals", "back", lambda a, b: F.abs(a - b)))
-    return rows.join(back, ["layer_idx", "row_idx"]).groupBy("layer_idx").agg(F.count("*").alias("n_rows"), (F.max(off) <= 1e-5).alias("close")).join(encoded.modes, "layer_idx")
+    return rows.join(back, ["layer_idx", "row_idx"]).groupBy("layer_idx").agg(F.count("*").alias("n_rows"), (F.max(off) <= 1e-5).alias("close"))
 
 
-@query()
+@query(f"""WITH l AS ({_LAYERS}), t AS (SELECT layer_idx, sum(floor(v::DOUBLE * 1048576)::BIGINT)::BIGINT AS total FROM ({_CELL}) GROUP BY layer_idx)
+SELECT (row_number() OVER (ORDER BY l.layer_idx) - 1)::INTEGER AS layer_idx, printf('layer%06d', l.layer_idx) AS tensor_name, [n_rows::INTEGER, 64] AS shape, n::INTEGER AS n, total, true AS exact FROM l JOIN t ON l.layer_idx = t.layer_idx""")
 def q31_container(spark, sf_dir):
     """Write the layers to a container, read all of it back and compare each layer with its source."""
     container.register(spark)
@@ -418,20 +422,52 @@ def q31_container(spark, sf_dir):
     read = spark.read.format("tensor_container").option("verify", "true").load(path)
     back = read.select("layer_idx", "tensor_name", "shape", F.col("vals").alias("back"))
     source = tensors.join(whole, "layer_idx").select("tensor_name", F.col("shape").alias("want"), "vals")
+    total = F.aggregate("back", F.lit(0).cast("long"), lambda acc, x: acc + F.floor(x.cast("double") * 1048576))
     # A layer missing on either side stays, as one that is not exact.
     exact = F.coalesce((F.col("shape") == F.col("want")) & (F.col("back") == F.col("vals")), F.lit(False))
-    return back.join(source, "tensor_name", "full").select("layer_idx", "tensor_name", "shape", F.size("back").alias("n"), exact.alias("exact"))
+    return back.join(source, "tensor_name", "full").select("layer_idx", "tensor_name", "shape", F.size("back").alias("n"), total.alias("total"), exact.alias("exact"))
 
 
-@query()
+@query("""WITH c AS (SELECT user_id, event_id, round(value * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+SELECT event_id AS layer_idx, (user_id * 16777216 + n // 8)::BIGINT AS group_id, cents FROM c""")
 def q32_streaming(spark, sf_dir):
     """Cents of each user as integer frames, eight events a group, decoded by the stateful stream."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     cents = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
     placed = cents.withColumn("n", F.row_number().over(order) - 1)
-    group = F.pmod(F.xxhash64("user_id", F.expr("n div 8")), F.lit(2**31 - 1)).cast("int")
-    frames = streaming.frames_of(placed.select(F.col("event_id").cast("int").alias("layer_idx"), F.array("cents").alias("data"), F.col("user_id"), F.col("n"), group.alias("g")), "data", F.col("g"), 8)
+    # A user's events are far below 2^27, so no two groups share a number.
+    group = F.col("user_id") * 2**24 + F.expr("n div 8")
+    frames = streaming.frames_of(placed.select(F.col("event_id").alias("layer_idx"), F.array("cents").alias("data"), F.col("user_id"), F.col("n"), group.alias("g")), "data", F.col("g"), 8)
     base = shared_folder(spark)
     frames.write.parquet(f"{base}/frames")
     streaming.run_available(spark, f"{base}/frames", f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("layer_idx", "group_id", F.col("data")[0].alias("cents"))
+
+
+def _half_state(spark, sf_dir):
+    """The embedding layers rounded to half."""
+    tensors, rows = _state(spark, sf_dir)
+    return tensors.withColumn("dtype", F.lit("float16")), rows.withColumn("vals", bits.from_half_codes(bits.half_codes("vals")))
+
+
+@query(f"""WITH l AS ({_LAYERS})
+SELECT layer_idx::INTEGER AS layer_idx, n_rows, 'fp16' AS layout, (4 + (n + 7) // 8 + 3 * n)::BIGINT AS raw_bytes, true AS exact FROM l""")
+def q33_half_storage(spark, sf_dir):
+    """Half tensors are coded as halves, two bytes a value, and come back bit for bit."""
+    tensors, rows = _half_state(spark, sf_dir)
+    encoded = codec.encode(tensors, rows, codec.Options(dictionary=False))
+    held = encoded.blocks.where("part = 'R'").groupBy("layer_idx").agg(F.min("layout").alias("layout"), F.sum("raw_len").alias("raw_bytes"))
+    back = codec.decode(encoded).select("layer_idx", "row_idx", F.col("vals").alias("back"))
+    same = rows.join(back, ["layer_idx", "row_idx"]).groupBy("layer_idx").agg(F.count("*").alias("n_rows"), F.bool_and(bits.codes("vals") == bits.codes("back")).alias("exact"))
+    return same.join(held, "layer_idx").select("layer_idx", "n_rows", "layout", "raw_bytes", "exact")
+
+
+@query(f"""WITH l AS ({_LAYERS}), a AS (SELECT count(*) AS k, sum(n)::BIGINT AS n FROM l), g AS (SELECT *, (k + 7) // 8 - CASE WHEN k > 8 AND k % 8 = 1 THEN 1 ELSE 0 END AS i FROM a)
+SELECT k AS n_layers, 2 * n AS original_bytes, 2 * n + 2 * k AS coefficient_residual_bytes, 0::BIGINT AS dictionary_bytes, 0::BIGINT AS n_eligible, 0::BIGINT AS dictionary_used,
+       i::BIGINT AS n_iframes, (k - i)::BIGINT AS n_pframes, 0.0::DOUBLE AS delta_ratio, 100.0::DOUBLE AS expected_gain FROM g""")
+def q34_statistics(spark, sf_dir):
+    """The statistics of an encode of half tensors: whole groups of eight, coefficients of zero."""
+    tensors, rows = _half_state(spark, sf_dir)
+    found = codec.statistics(codec.encode(tensors, rows, codec.Options(dictionary=False)))
+    names = ["n_layers", "original_bytes", "coefficient_residual_bytes", "dictionary_bytes", "n_eligible", "dictionary_used", "n_iframes", "n_pframes", "delta_ratio", "expected_gain"]
+    return found.select(*names)

@@ -26,7 +26,7 @@ def _blocks(encoded: codec.Encoded) -> DataFrame:
         coded = {(p, s): b for p, s, b in zip(left["part"], left["stream"], left["blob"])}
         size = {p: (int(r), int(c)) for p, r, c in zip(left["part"], left["n_rows"], left["n_cols"])}
         whole = bool(left["is_iframe"].iloc[0])
-        block = container.join_block(whole, "fp32", size["R"], size["C"], tuple(right["shape"].iloc[0]), coded)
+        block = container.join_block(whole, left["layout"].iloc[0], size["R"], size["C"], tuple(right["shape"].iloc[0]), coded)
         return pd.DataFrame({"layer_idx": [key[0]], "group_id": [left["group_id"].iloc[0]], "is_iframe": [whole], "block": [block]})
 
     other = shapes.select((F.col("layer_idx") + F.lit(0)).alias("layer_idx"), "shape")
@@ -68,9 +68,8 @@ def encode(spark: SparkSession, state: dict[str, np.ndarray], path: str, options
     options = codec.with_options(options or codec.Options(), delta_mode="arith")
     encoded = codec.encode(tensors, rows, options)
     stats = write(encoded, path, metadata)
-    used = encoded.modes.where("mode = 'dict'").count()
-    frames = {r.is_iframe: r.n for r in encoded.blocks.groupBy("is_iframe").agg(F.countDistinct("layer_idx").alias("n")).collect()}
-    return stats | {"dictionary_used": used, "n_iframes": frames.get(True, 0), "n_pframes": frames.get(False, 0), "seconds": time.perf_counter() - began}
+    passes = codec.statistics(encoded).first().asDict()
+    return passes | stats | {"seconds": time.perf_counter() - began}
 
 
 def decode(path: str, verify: bool = False) -> dict[str, np.ndarray]:

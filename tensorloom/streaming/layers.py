@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FRAME = "group_id int, pos int, size int, layer_idx int, is_iframe boolean, data array<bigint>"
-LAYER = "layer_idx int, group_id int, data array<bigint>"
+FRAME = "group_id long, pos int, size int, layer_idx long, is_iframe boolean, data array<bigint>"
+LAYER = "layer_idx long, group_id long, data array<bigint>"
 
 
 def decode(frames: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def decode(frames: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["layer_idx", "group_id", "data"])
 
-    kept = "next int, last array<bigint>, waiting array<struct<pos:int,layer_idx:int,is_iframe:boolean,data:array<bigint>>>"
+    kept = "next int, last array<bigint>, waiting array<struct<pos:int,layer_idx:bigint,is_iframe:boolean,data:array<bigint>>>"
     return frames.groupBy("group_id").applyInPandasWithState(step, LAYER, kept, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -66,7 +66,7 @@ def frames_of(rows: DataFrame, value: str, group, size: int) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("group_id").orderBy("layer_idx")
-    placed = rows.withColumn("group_id", group.cast("int"))
+    placed = rows.withColumn("group_id", group.cast("long")).withColumn("layer_idx", F.col("layer_idx").cast("long"))
     last = F.lag(value).over(order)
     first = last.isNull()
     data = F.when(first, F.col(value)).otherwise(F.zip_with(F.col(value), last, lambda a, b: a - b))
