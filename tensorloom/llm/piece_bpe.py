@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ from tensorloom.llm.common import pick, whole_texts
 SPACE = "▁"
 #: Segments in a generation of a worker's table. A full generation becomes the old one, whose
 #: entries come back when they are used again, so frequent words stay and memory is bounded.
-TABLE_ENTRIES = 150_000
+TABLE_ENTRIES = 200_000
 #: Longer segments are not kept.
 TABLE_CHARS = 48
 
@@ -142,26 +143,22 @@ class PieceBpe:
 
     def _part(self, part: str) -> str:
         """The ids of a stretch that no merge leaves, joined by commas; decoded once, to see that this gives the stretch back."""
-        ids: list[int] = []
-        for token in self.backtrack(part):
-            known = self.ids.get(token)
-            if known is not None:
-                ids.append(known)
-            else:
-                ids.extend([self.byte_ids[b] for b in token.encode("utf-8")])
+        known, pieces = self.ids.get, self.pieces
+        tokens = self.backtrack(part)
+        ids = [known(token) for token in tokens]
+        if None not in ids and "".join([pieces[i] for i in ids]) == part:
+            return ",".join(map(str, ids))
+        ids = [i for token, own in zip(tokens, ids) for i in ([own] if own is not None else [self.byte_ids[b] for b in token.encode("utf-8")])]
         decoded, joined = self._text(ids), ",".join(map(str, ids))
         return joined if decoded == part.replace(SPACE, " ") else f"{joined}{ODD}{decoded}"
 
     def _cut(self, word: str) -> str:
         """The same of a word with its leading spaces, cut where no piece joins two characters."""
-        start, found, joined, parts = 0, [], self.joined, []
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in joined:
-                parts.append(word[start:k])
-                start = k
-        if not parts:
+        joined = self.joined
+        cuts = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in joined]
+        if not cuts:
             return self._part(word)
-        parts.append(word[start:])
+        parts = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
         # A character of several bytes is one token, so bytes never decode across a cut.
         found = [self._kept(part, self._part) for part in parts]
         ids = ",".join(found)
