@@ -87,11 +87,11 @@ y0 AS (SELECT DISTINCT row_id, h, kind || ':' || lower(m) AS entity FROM b),
 p AS (SELECT entity, term, count(*) AS n_both, count(DISTINCT h) AS texts FROM y0 JOIN (SELECT DISTINCT row_id, term FROM w) w ON y0.row_id = w.row_id GROUP BY ALL),
 n AS (SELECT entity, count(*) AS n_entity, count(DISTINCT h) AS all_texts FROM y0 GROUP BY ALL),
 f AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}+'), lambda x: lower(x)))) AS term FROM d) GROUP BY term),
-k AS (SELECT p.term, n_both, n_entity, n_term, n_all, texts::DOUBLE AS k, all_texts::DOUBLE AS n, n_term / n_all AS q
+k AS (SELECT p.term, n_both, n_entity, n_term, n_all, texts, texts::DOUBLE AS k, all_texts::DOUBLE AS n, n_term / n_all AS q
       FROM p JOIN n ON p.entity = n.entity JOIN f ON p.term = f.term, (SELECT count(*) AS n_all FROM d)),
 t AS (SELECT DISTINCT term FROM k WHERE log2(n_all / n_entity) > 0 AND log2(n_both * n_all / (n_entity * n_term)) >= {pii.DISCLOSURE} * log2(n_all / n_entity) - 1e-9
-        AND k > n * q AND k * log2(k / (n * q)) + CASE WHEN k < n THEN (n - k) * log2((1 - k / n) / (1 - q)) ELSE 0 END >= -log2({pii.CHANCE}) - 1e-9),
-y AS (SELECT row_id, kind, place, s, e FROM b UNION ALL SELECT row_id, '{pii.TERM}', 9, s, e FROM w JOIN t ON w.term = t.term),
+        AND (n_term <= n_both OR texts >= {pii.MEETINGS}) AND k > n * q AND k * log2(k / (n * q)) + CASE WHEN k < n THEN (n - k) * log2((1 - k / n) / (1 - q)) ELSE 0 END >= -log2({pii.CHANCE}) - 1e-9),
+y AS (SELECT row_id, kind, place, s, e FROM b UNION ALL SELECT row_id, '{pii.TERM}', 9, s, e FROM w JOIN t ON w.term = t.term WHERE row_id IN (SELECT row_id FROM b)),
 z AS (SELECT row_id, {counts}, {listed.format("")} AS spans FROM y GROUP BY row_id),
 x AS (SELECT row_id, sha256({listed.format("")}) AS base_sha256 FROM b GROUP BY row_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in patterns)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans

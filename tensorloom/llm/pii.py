@@ -11,12 +11,13 @@ Information-theoretic sanitisation: a protected entity (the text of a base
 span) has information content IC = -log2 P(e), P by documents. A term that shares documents with it
 discloses it by its pointwise mutual information with it, so the share
 PMI(e; t) / IC(e) says how much of the entity the term gives away. Terms that reach the
-threshold become spans of their own, kind ``term``: every occurrence, in every document, whether or not it
-holds an entity itself. Terms are words, runs of letters of any length, lower-cased. Entity and term meet where one document holds
+threshold become spans of their own, kind ``term``: every occurrence in the whole text of each document that holds
+an entity, of whichever entity. Documents without entities are out of scope and stay as they are. Terms are words, runs of letters of any length, lower-cased. Entity and term meet where one document holds
 the entity and, outside its base spans and not cut by one, the term; all frequencies cover whole texts of the whole corpus.
 
 A pair's meetings must also be unlikely to be chance. That bound (:data:`CHANCE`) counts different texts, so copies are
-no evidence, while rare terms disclose an entity of a single text.
+no evidence, while rare terms disclose an entity of a single text. One text is no estimate of how often a term comes
+without the entity: a term that also stands in documents without it must meet it in :data:`MEETINGS` different texts.
 
 Copies of a text are counted as one text with a number, and entities that stand in the same texts
 are one class with one set of statistics, so a log with very many addresses pairs its words with one class, not with each address.
@@ -40,6 +41,8 @@ TERM = "term"
 DISCLOSURE = 0.9
 #: Bound on the probability that chance makes entity and term meet in so many texts.
 CHANCE = 0.01
+#: Different texts in which a pair meets if the term stands without the entity too.
+MEETINGS = 2
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _EMAIL = _LOCAL + r"++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -139,8 +142,8 @@ def _key() -> Column:
     return F.struct(F.xxhash64(_text()).alias("a"), F.xxhash64(_text(), F.lit(1)).alias("b"))
 
 
-def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
-    """``(term)``: words that disclose an entity somewhere in the corpus, by documents that hold both."""
+def disclosing(docs: DataFrame, threshold: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """``(h, terms)``: the texts with entities that hold words which disclose some entity of the corpus, with these words."""
     rows = pick(docs, text="text").select(_text().alias("text"))
     held = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
     names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
@@ -167,19 +170,16 @@ def corpus_terms(docs: DataFrame, threshold: float = DISCLOSURE, chance: float =
     content = F.log2(n_all / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * n_all / (F.col("n_entity") * F.col("n_term")))
     likely = chance_bits(F.col("texts"), F.col("all_texts"), F.col("n_term") / n_all) >= -math.log2(chance) - 1e-9
-    return pairs.where((content > 0) & (shared >= threshold * content - 1e-9) & likely).select("term").distinct()
-
-
-def holders(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(h, terms)``: the texts that hold any of ``(term)``, with those that they hold."""
-    rows = docs.select(_key().alias("h"), F.explode(_words(_text())).alias("term"))
-    return rows.join(small(terms, F.octet_length("term")), "term").groupBy("h").agg(F.collect_set("term").alias("terms"))
+    seen = (F.col("n_term") <= F.col("n_both")) | (F.col("texts") >= MEETINGS)
+    terms = checkpointed(pairs.where((content > 0) & (shared >= threshold * content - 1e-9) & likely & seen).select("term").distinct())
+    own = held.select("h", F.explode("words").alias("term")).join(small(terms, F.octet_length("term")), "term")
+    return own.groupBy("h").agg(F.collect_set("term").alias("terms"))
 
 
 def _marked(docs: DataFrame, base: str, more: str, threshold: float, chance: float) -> DataFrame:
     """``docs`` with its base spans (:data:`_SPAN`) and term spans (:data:`_PLACE`) as columns ``base`` and ``more``."""
     h, terms = fresh(docs, "__h", "__terms")
-    held = checkpointed(holders(docs, checkpointed(corpus_terms(docs, threshold, chance))))
+    held = checkpointed(disclosing(docs, threshold, chance))
     size = F.aggregate("terms", F.lit(32), lambda acc, t: acc + F.octet_length(t) + 16)
     held = small(held, size).select(F.col("h").alias(h), F.col("terms").alias(terms))
     out = docs.join(held, _key() == F.col(h), "left").withColumn(base, base_spans(F.col("text")))

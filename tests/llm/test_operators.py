@@ -409,23 +409,24 @@ def test_terms_disclose_an_entity_of_one_text(spark):
     assert clean == dict(rows) | {0: "please ask [TERM] the person at [EMAIL] today"}
 
 
-def test_terms_go_in_every_document_and_at_any_distance(spark):
+def test_terms_go_at_any_distance_and_clean_documents_stay(spark):
     gap = "so it goes on and on " * 20
-    rows = [(0, f"write to jo@x.org today {gap} says zorgblatt and Ng and 李雷"), (1, f"write today {gap} says zorgblatt")]
-    rows += [(i, f"write today to the desk {gap} says the number and {i}") for i in range(2, 3000)]
+    rows = [(0, f"write to jo@x.org today {gap} says zorgblatt and Ng and 李雷"), (1, f"write today {gap} says zorgblatt"), (2, f"jo@x.org {gap} zorgblatt"), (3, f"write {gap} says rare to plain@x.org"), (4, f"write {gap} says rare")]
+    rows += [(i, f"write today to the desk {gap} says the number and {i}") for i in range(5, 3000)]
     clean = dict(pii.sanitise(frame(spark, rows, "doc_id long, text string")).select("doc_id", "text").collect())
-    want = {0: f"write to [EMAIL] today {gap} says [TERM] and [TERM] and [TERM]", 1: f"write today {gap} says [TERM]"}
-    assert clean == dict(rows) | want
+    want = {0: f"write to [EMAIL] today {gap} says [TERM] and [TERM] and [TERM]", 2: f"[EMAIL] {gap} [TERM]"}
+    # Document 1 holds no entity. "rare" meets one in a single text and stands without it as well.
+    assert clean == dict(rows) | want | {3: f"write {gap} says rare to [EMAIL]"}
     glued = [(0, "éjo@x.org and zorg")] + [(i, "é and") for i in range(1, 300)]
     clean = dict(pii.sanitise(frame(spark, glued, "doc_id long, text string")).select("doc_id", "text").collect())
     assert clean == dict(glued) | {0: "é[EMAIL] and [TERM]"}
 
 
-def test_find_marks_each_occurrence_in_each_document(spark):
+def test_find_marks_each_occurrence_and_spares_clean_documents(spark):
     gap = "so it goes on and on " * 20
-    rows = [(0, f"Zorgblatt {gap} host 10.0.0.1 {gap} ZORGBLATT"), (1, f"here {gap} zorgblatt, zorgblatt")] + [(i, f"here {gap} host {i}") for i in range(2, 3000)]
+    rows = [(0, f"Zorgblatt {gap} host 10.0.0.1 {gap} ZORGBLATT"), (1, f"here {gap} zorgblatt, zorgblatt"), (2, f"zorgblatt {gap} 10.0.0.1 host")] + [(i, f"here {gap} host {i}") for i in range(3, 3000)]
     found = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end].lower()) for s in r.spans] for r in pii.find(frame(spark, rows, "doc_id long, text string")).collect()}
-    assert found == {i: [] for i in range(2, 3000)} | {0: [("ip", "10.0.0.1")] + [("term", "zorgblatt")] * 2, 1: [("term", "zorgblatt")] * 2}
+    assert found == {i: [] for i in range(3, 3000)} | {0: [("ip", "10.0.0.1")] + [("term", "zorgblatt")] * 2, 1: [], 2: [("ip", "10.0.0.1"), ("term", "zorgblatt")]}
 
 
 def test_text_of_very_many_spans(spark):
