@@ -473,6 +473,17 @@ def test_pii_edges(spark):
     assert pii.find(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
 
 
+def test_bands_grow_with_the_rows(spark, monkeypatch):
+    plans = {n: similar.band_plan(n) for n in (0, 1, 2**20, 10**7, 10**9, 10**12)}
+    assert plans[0] == plans[1] == plans[2**20] == (16, 40, 65) and plans[10**9][:2] == (26, 213)
+    assert [p.bits for p in plans.values()] == sorted(p.bits for p in plans.values())
+    for plan in plans.values():
+        assert 1 - (1 - (1 - np.arccos(8 / 9) / np.pi) ** plan.bits) ** plan.bands >= 0.95 and 64 * len(plan.salts) >= plan.bits * plan.bands
+    # The plan of ten million rows finds the same pairs at 0.8.
+    monkeypatch.setattr(similar, "BAND_BITS", (20, 31))
+    test_pipeline_drops_copies_of_similarity_08(spark)
+
+
 # 8: embeddings
 
 
