@@ -72,7 +72,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = KMEANS_ROUNDS, batch: int = KMEA
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.array(pdf.sort_values("row_idx").vals.tolist(), np.float32)
+    """The rows as one matrix, stacked from the arrays that Arrow gives."""
+    rows = pdf.sort_values("row_idx").vals.to_numpy()
+    return np.stack(rows).astype(np.float32, copy=False) if len(rows) else np.zeros((0, 0), np.float32)
 
 
 def fit(rows: DataFrame, tensors: DataFrame, num_atoms: int = 64, rank: int = 128, sample: int = FIT_SAMPLE) -> DataFrame:
@@ -95,7 +97,7 @@ def fit(rows: DataFrame, tensors: DataFrame, num_atoms: int = 64, rank: int = 12
     found = found.withColumn("n", place).where(F.col("n") <= sample)
 
     def atoms(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values(["layer_idx", "k"]).vec.tolist())
+        x = np.stack(pdf.sort_values(["layer_idx", "k"]).vec.to_numpy())
         if len(x) < 2:
             return pd.DataFrame({"m": [], "atom_idx": [], "vec": []})
         c = kmeans(x, min(num_atoms, len(x)))

@@ -119,7 +119,7 @@ def _code(frames: DataFrame, options: Options) -> DataFrame:
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        flat, layout = np.array(pdf["data"].tolist()), pdf.layout.iloc[0]
+        flat, layout = np.stack(pdf["data"].to_numpy()), pdf.layout.iloc[0]
         if layout == "fp16":
             array = flat.astype(np.uint16).view(np.float16) if raw_bits else flat.astype(np.float16)
         else:

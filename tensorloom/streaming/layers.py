@@ -2,13 +2,15 @@
 
 Frames of a group may arrive out of order: those that wait for a predecessor are
 kept until it comes. A group's state is cleared with its last layer, so state
-is bounded by the groups that are open.
+is bounded by the groups that are open. A group whose last frame never comes stays
+open: what waits in it is not given up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,21 +29,22 @@ def decode(frames: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         following, last, waiting = state.get if state.exists else (0, [], [])
-        held = {row[0]: row for row in (tuple(w) for w in waiting)}
+        last, held = np.asarray(last, np.int64), {row[0]: row for row in (tuple(w) for w in waiting)}
         size, out = None, []
         for pdf in parts:
             for row in pdf.itertuples(index=False):
-                held[row.pos] = (row.pos, row.layer_idx, bool(row.is_iframe), [int(x) for x in row.data])
+                held[row.pos] = (row.pos, row.layer_idx, bool(row.is_iframe), np.asarray(row.data, np.int64))
                 size = row.size
         while following in held:
             _, layer, whole, data = held.pop(following)
-            last = list(data) if whole or not last else [a + b for a, b in zip(last, data)]
+            data = np.asarray(data, np.int64)
+            last = data if whole or not len(last) else last + data
             out.append((layer, key[0], last))
             following += 1
         if size is not None and following >= size:
             state.remove()
         else:
-            state.update((following, last, sorted(held.values())))
+            state.update((following, last.tolist(), [(*held[k][:3], np.asarray(held[k][3]).tolist()) for k in sorted(held)]))
         if out:
             yield pd.DataFrame(out, columns=["layer_idx", "group_id", "data"])
 
