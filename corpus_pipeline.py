@@ -1,8 +1,8 @@
 """From raw documents to token ids: five stages of training-data operators.
 
 1. quality: documents that the classifier rejects go.
-2. near-duplicates: one document of each group stays. SimHash bands find
-   candidates, links are exact: five-word shingles, similarity 0.8.
+2. near-duplicates: one document of each group stays. SimHash covering masks and
+   bands find candidates, links are exact: five-word shingles, similarity 0.8.
 3. personal data: base spans are generalised, disclosing terms removed.
 4. mixing: sources are taken to their target weights, whole epochs repeated.
 5. tokens: whole texts are encoded, and decoded again.

@@ -1,8 +1,11 @@
-"""Near-duplicate documents by word shingles: SimHash bands for candidates, exact Jaccard for links.
+"""Near-duplicate documents by word shingles: SimHash with covering masks for candidates, exact Jaccard for links.
 
-A text stands for the set of its five-word shingles. At a Jaccard of 0.8 the SimHashes of two
-texts differ in about 15 % of their bits, far too many for a covering family, so the bits are
-cut into bands: such a pair agrees on some band with probability :data:`RECALL`, closer pairs more
+A text stands for the set of its five-word shingles. Its sketch begins with :data:`SIGHT` SimHashes of 64 bits. Of each some bits,
+two for a bit of a band's key, are searched by the covering masks of ``simhash``: a pair whose 4 x 32 bits (4 x 52 at a billion
+rows) differ in 15 at most differs in :data:`simhash.RADIUS` at most in one of the four, whose masks miss no such pair.
+
+At a Jaccard of 0.8 the sketches of two texts differ in about 15 % of their bits, often more than the masks cover, so the bits are
+cut into bands besides: such a pair agrees on some band with probability :data:`RECALL`, closer pairs more
 surely. A band's bits grow with the logarithm of the rows, so that unrelated texts of a bucket do not
 grow in number, and the bands with them to hold that probability: 40 bands of 16 bits up to a million rows, 213 of
 26 at a billion. Pairs of a bucket whose first 256 bits differ in more than :attr:`Plan.far` (65 at 0.8; unrelated
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import checkpointed, fresh, small, whole_texts
 from tensorloom.llm.components import components
+from tensorloom.llm.simhash import BITS, RADIUS, masks
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -38,6 +42,8 @@ BAND_BITS, SPARE = (16, 31), 4
 SIGHT = 4
 #: Standard deviations above the mean difference of pairs at the similarity from which on a pair is no candidate.
 DEVIATIONS = 4.6
+#: Labels that the covering masks give to bits in turn; label 0 is in no mask.
+LABELS = 1 << (RADIUS + 1)
 #: Members of a bucket, and of a candidate component, that a task compares at most (times two).
 BLOCK, EXACT_BLOCK = 2048, 256
 #: Runs up to this size are compared at once, all pairs; longer ones yield a forest.
@@ -57,6 +63,18 @@ class Plan(NamedTuple):
         longs = max(SIGHT, -(-self.bits * self.bands // 64))
         return np.array([(k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64) for k in range(longs)], np.uint64)
 
+    @property
+    def searched(self) -> list[int]:
+        """The bits of a long that the covering masks search. Labels of odd weight come first, so that masks keep about half of them each."""
+        order = sorted((i for i in range(BITS) if i % LABELS), key=lambda i: (i // LABELS, (i % LABELS).bit_count() % 2 == 0, i))
+        return order[: 2 * self.bits]
+
+    @property
+    def masks(self) -> list[int]:
+        """The covering masks on these bits, as signed longs."""
+        kept = sum(1 << i for i in self.searched)
+        return [m - (1 << 64) if m >> 63 else m for m in (m & kept for m in masks(RADIUS))]
+
 
 def band_plan(rows: int, similarity: float = SIMILARITY) -> Plan:
     """The plan for so many rows. Of the pairs at a Jaccard, sets of equal size have the least cosine."""
@@ -222,6 +240,14 @@ def _linked(rows: DataFrame, keys: list[str], block: int, link) -> DataFrame:
     return placed.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(_by_runs(len(by), link), "a long, b long").distinct()
 
 
+def _keyed(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """``(node, sights.., t, key)``: a row for each band and for each covering mask of each sight."""
+    banded = nodes.select("node", *_SIGHT, F.posexplode("keys").alias("t", "key")).withColumn("key", F.col("key").cast("long"))
+    tables = [F.col(s).bitwiseAND(F.lit(m)).alias("key") for s in _SIGHT for m in plan.masks]
+    covered = nodes.select("node", *_SIGHT, F.explode(F.array(*[F.struct(F.lit(plan.bands + t).alias("t"), key) for t, key in enumerate(tables)])).alias("k"))
+    return banded.unionByName(covered.select("node", *_SIGHT, "k.t", "k.key"))
+
+
 def groups(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Of ``rows(doc_id, a, b, text)``, where (doc_id, a, b) name a row and equal rows have equal names:
 
@@ -233,8 +259,7 @@ def groups(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     kind = f"doc_id long, a long, b long, node long, {', '.join(f'{s} long' for s in _SIGHT)}, keys array<int>"
     marked = checkpointed(rows.select("doc_id", "a", "b", "text").mapInArrow(_sketched(plan), kind))
     nodes = checkpointed(marked.groupBy("node").agg(F.min(F.struct("doc_id", "a", "b", *_SIGHT, "keys")).alias("m")).select("node", "m.*"))
-    banded = nodes.select("node", *_SIGHT, F.posexplode("keys").alias("t", "key"))
-    maybe = components(_linked(banded, ["t", "key"], BLOCK, _sketch_links(plan.far)))
+    maybe = components(_linked(_keyed(nodes, plan), ["t", "key"], BLOCK, _sketch_links(plan.far)))
     open_ = checkpointed(maybe.join(nodes.select("node", "doc_id", "a", "b"), "node"))
     # Texts leave their place only for candidates; a name that several equal rows have counts once.
     met = rows.join(small(open_, F.lit(40)), ["doc_id", "a", "b"]).select("root", "node", "text").dropDuplicates(["root", "node"])

@@ -518,6 +518,39 @@ def test_bands_grow_with_the_rows(spark, monkeypatch):
     test_pipeline_drops_copies_of_similarity_08(spark)
 
 
+def test_covering_masks_find_pairs_that_no_band_finds(spark):
+    plan, rows = similar.band_plan(1), []
+    for i, seed in enumerate((804, 1161, 2550, 3311, 3398, 3926)):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = ["changed" if k in (20, 80, 140) else w for k, w in enumerate(words)]
+        rows += [(i, " ".join(words), "en", "a", 0), (100 + i, " ".join(other), "en", "a", 0)]
+        apart = np.logical_xor(*(similar.sketch(similar.shingles(r[1]), plan.salts) for r in rows[-2:]))
+        assert apart[: plan.bits * plan.bands].reshape(plan.bands, -1).any(axis=1).all() and apart[:256].reshape(4, 64)[:, plan.searched].sum() <= 15
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), DATA).collect()) == list(range(6))
+
+
+@pytest.mark.parametrize("n", [1, 10**7, 10**9, 10**12])
+def test_covering_masks_miss_no_pair_of_the_radius(spark, n):
+    plan, rng = similar.band_plan(n), random.Random(n)
+    searched = [(s, b) for s in range(similar.SIGHT) for b in plan.searched]
+    others = (1 << 64) - 1 - sum(1 << b for b in plan.searched)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = []
+    for i in range(100):
+        first = [rng.getrandbits(64) for _ in range(similar.SIGHT)]
+        second = [x ^ (rng.getrandbits(64) & others) for x in first]
+        for s, b in rng.sample(searched, (similar.SIGHT * (simhash.RADIUS + 1) - 1) - i % 2):
+            second[s] ^= 1 << b
+        nodes += [(2 * i, *map(signed, first), []), (2 * i + 1, *map(signed, second), [])]
+    held = defaultdict(set)
+    for r in similar._keyed(spark.createDataFrame(nodes, f"node long, {', '.join(f'{s} long' for s in similar._SIGHT)}, keys array<int>"), plan).collect():
+        held[r.node].add((r.t, r.key))
+    assert len(held) == 200 and all(len(v) == 60 and min(v)[0] == plan.bands for v in held.values())
+    assert all(held[2 * i] & held[2 * i + 1] for i in range(100))
+    assert min((m & (2**64 - 1)).bit_count() for m in plan.masks) >= plan.bits
+
+
 # 8: embeddings
 
 
